@@ -101,8 +101,9 @@ def mix_sources(
     rows = rows.withColumn(
         "odds", F.try_divide(F.col("u") / (1 - F.col("u")), F.try_divide(p, 1 - p))
     )
-    # null odds: p is 0, no further copy; the slice of a rank r is r / (1 + r)
-    rows = rows.withColumn("slice", F.floor(F.col("odds") / (1 + F.col("odds")) * slices))
+    # the slice of a rank r is r / (1 + r); null odds (p is 0, no further copy) only need any slice of their own
+    unranked = -1 - F.pmod(F.xxhash64("doc_id", "of_text"), F.lit(slices))
+    rows = rows.withColumn("slice", F.coalesce(F.floor(F.col("odds") / (1 + F.col("odds")) * slices), unranked))
     open_rows = F.col("odds").isNotNull() & (F.col("size") > 0)
     sums = (
         rows.filter(open_rows).groupBy("source", "slice").agg(F.sum("size").alias("words"))
