@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .quality import quality_rules
+from .suffix import remove_repeats
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +25,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_read(spark, sf_dir, "documents"))[0].select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -31,6 +36,7 @@ def op8_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minmax_dedup": op1_minmax_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op8_pareto_mixing": op8_pareto_mixing,
 }
 
