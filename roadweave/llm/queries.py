@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .minhash import near_duplicates
 from .mixing import mix_sources
+from .packing import pack_documents
 from .quality import quality_rules
 from .suffix import remove_repeats
 
@@ -15,6 +16,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file that the packing queries use; it is read on the executors, never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -29,6 +37,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents"))[0].select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -37,6 +49,7 @@ QUERIES = {
     "op1_minmax_dedup": op1_minmax_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_pareto_mixing": op8_pareto_mixing,
 }
 
