@@ -33,7 +33,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
@@ -265,3 +265,12 @@ def _pivot_round(sets: DataFrame, active: DataFrame, percent: int) -> tuple[Data
     rest = tested.join(edge, "cluster").filter((~F.col("hit")) | (F.col("far") >= F.col("near") - (1 - percent / 100) - 1e-9))
     left = materialize(active.join(rest.select("set_key"), "set_key", "left_semi"), "active")
     return left, tested.filter("hit").select(F.col("set_key").alias("u"), F.col("pivot").alias("v"))
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """One row of ``docs`` for each component, with all its columns: that of the smallest id; of equal rows one."""
+    keep = near_duplicates(docs, id_col, text_col, **more).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
+    rows = docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__id"))).drop("__id")
+    same = Window.partitionBy(id_col, "__of_text").orderBy(F.lit(0))
+    rows = rows.withColumn("__of_text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    return rows.withColumn("__nth", F.row_number().over(same)).filter("__nth = 1").drop("__nth", "__of_text")

@@ -131,3 +131,19 @@ def mix_sources(
     return ranked.withColumn("copies", (F.col("whole") + extra).cast("int")).select(
         "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "nth", "of_text"
     )
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **more) -> DataFrame:
+    """The mix itself: each row of ``docs`` as many times as it is taken, with all its columns."""
+    copies = mix_sources(docs, id_col, text_col, source_col, **more).filter("copies > 0").select(
+        F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("of_text").alias("__h"), F.col("nth").alias("__m"), F.col("copies").alias("__copies")
+    )
+    keyed = docs.withColumn("__text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    same = Window.partitionBy(id_col, source_col, "__text").orderBy(F.lit(0))
+    keyed = keyed.withColumn("__nth", F.row_number().over(same))
+    on = (
+        F.col(id_col).eqNullSafe(F.col("__i")) & F.col(source_col).eqNullSafe(F.col("__s"))
+        & (F.col("__text") == F.col("__h")) & (F.col("__nth") == F.col("__m"))
+    )
+    out = keyed.join(copies, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return out.select(*docs.columns)

@@ -154,3 +154,16 @@ def quality_rules(
         .drop("of")
         .withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
     )
+
+
+def keep_by_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **rules) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns.
+
+    Rows are told apart by id, host and a hash of the text; equal rows have equal verdicts.
+    """
+    keyed = docs.withColumn("__of_text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    slim = docs.select(F.col(id_col).alias("i"), F.col(host_col).alias("s"), F.col(text_col).alias("t"))
+    slim = slim.withColumn("row", F.struct("i", "s", F.xxhash64(F.coalesce("t", F.lit(""))).alias("h")))
+    kept = quality_rules(slim, "row", "t", "s", **rules).filter("kept").select("doc_id.*").distinct()
+    on = keyed[id_col].eqNullSafe(kept["i"]) & keyed[host_col].eqNullSafe(kept["s"]) & (keyed["__of_text"] == kept["h"])
+    return keyed.join(kept, on, "left_semi").drop("__of_text")

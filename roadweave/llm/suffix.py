@@ -435,3 +435,18 @@ def remove_repeats(
         F.when(gone, F.lit(EMPTY_SHA256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     )
     return rows, rests.select("k", "kept_text")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", **more) -> DataFrame:
+    """``docs`` with repeated passages cut from the texts and their lengths set anew.
+
+    Every row stays; a text that repeats as a whole becomes empty.  Of a
+    character that lost some of its bytes, the others go as well.
+    """
+    rows, rests = remove_repeats(docs, id_col, text_col, **more)
+    gone = rows.filter("n_bytes > 0 and n_removed = n_bytes").select("k").distinct().withColumn("kept_text", F.lit(""))
+    changed = gone.union(rests.join(gone.select("k"), "k", "left_anti")).withColumnRenamed("k", "__k").withColumnRenamed("kept_text", "__rest")
+    keyed = docs.withColumn("__at", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    out = keyed.join(changed, F.col("__at") == F.col("__k"), "left")
+    out = out.withColumn(text_col, F.coalesce("__rest", F.col(text_col))).drop("__rest", "__k", "__at")
+    return out.withColumn(length_col, F.when(F.col(text_col).isNotNull(), F.length(text_col).cast("long")).otherwise(F.col(length_col)))
