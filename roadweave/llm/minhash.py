@@ -218,7 +218,8 @@ def near_duplicates(
         sizes = members.groupBy("cluster").agg((8 * F.sum("n")).alias("bytes"))
         big = sizes.filter(F.col("bytes") > cluster_bytes).select("cluster")
         members = members.join(sizes, "cluster")
-        asked = texts.join(members.filter(F.col("rep").isNotNull()), F.col("doc_id") == F.col("rep"))
+        # always a merge join: what is asked for grows with the corpus, so one plan holds for every size
+        asked = texts.join(members.filter(F.col("rep").isNotNull()).hint("merge"), F.col("doc_id") == F.col("rep"))
         sets = asked.select("cluster", "set_key", "text").mapInArrow(_sets(shingle_words), "cluster binary, set_key binary, shingles binary")
         any_big = big.limit(1).count() > 0
         if any_big:
