@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .merkle import fingerprint_neighbours
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .packing import pack_documents
 from .quality import quality_rules
 from .suffix import remove_repeats
+from .warc import read_archives, write_archives
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +35,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_neighbours(_read(spark, sf_dir, "documents"))
+
+
+def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, _ = write_archives(_read(spark, sf_dir, "pages"))
+    return read_archives(spark, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents"))[0].select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -48,6 +59,8 @@ def op8_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minmax_dedup": op1_minmax_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op3_merkle_fingerprints": op3_merkle_fingerprints,
+    "op4_warc_zstd": op4_warc_zstd,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_pareto_mixing": op8_pareto_mixing,
