@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .langid import identify_language
 from .merkle import fingerprint_neighbours
 from .minhash import near_duplicates
 from .mixing import mix_sources
@@ -44,6 +45,10 @@ def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_kernel_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(_read(spark, sf_dir, "documents"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents"))[0].select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -61,6 +66,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_merkle_fingerprints": op3_merkle_fingerprints,
     "op4_warc_zstd": op4_warc_zstd,
+    "op5_kernel_langid": op5_kernel_langid,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_pareto_mixing": op8_pareto_mixing,
