@@ -14,6 +14,8 @@ from .quality import quality_rules
 from .suffix import remove_repeats
 from .warc import read_archives, write_archives
 
+from .xent import cross_entropy_difference
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -61,6 +63,11 @@ def op8_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = _read(spark, sf_dir, "labels").filter("quality = 1")
+    return cross_entropy_difference(_read(spark, sf_dir, "documents"), good, tokenizer_path())
+
+
 QUERIES = {
     "op1_minmax_dedup": op1_minmax_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -70,6 +77,7 @@ QUERIES = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_pareto_mixing": op8_pareto_mixing,
+    "op9_cross_entropy_difference": op9_cross_entropy_difference,
 }
 
 ORACLES: dict[str, str] = {}
