@@ -411,7 +411,8 @@ def remove_repeats(
     total = texts.filter("not hot").agg(F.sum(F.size("at"))).first()[0] or 0
     parts = max(1, -(-total // part_anchors))
     runs = texts.filter("not hot").select("k", "text", "at", "grams").mapInArrow(_runs(length, parts), "part long, run binary")
-    spans = runs.groupBy("part").applyInArrow(_merged(length), "k long, lo long, hi long")
+    # as many tasks as ranges: by bytes alone AQE would join ranges until a task grows with the corpus
+    spans = runs.repartition(parts, "part").groupBy("part").applyInArrow(_merged(length), "k long, lo long, hi long")
     if texts.filter("hot").limit(1).count():
         windows = materialize(
             texts.filter("hot").select("k", "text", "at").mapInArrow(_window_digests(length), "w binary, k long, lo long").distinct(), "windows"
