@@ -12,6 +12,7 @@ from .mixing import mix_sources
 from .packing import pack_documents
 from .quality import quality_rules
 from .suffix import remove_repeats
+from .urltree import filter_urls
 from .warc import read_archives, write_archives
 
 from .xent import cross_entropy_difference
@@ -20,6 +21,14 @@ from .xent import cross_entropy_difference
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
 
 def tokenizer_path() -> str:
     """The vocabulary file that the packing queries use; it is read on the executors, never copied."""
@@ -68,6 +77,10 @@ def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_entropy_difference(_read(spark, sf_dir, "documents"), good, tokenizer_path())
 
 
+def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_read(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
 QUERIES = {
     "op1_minmax_dedup": op1_minmax_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -78,6 +91,7 @@ QUERIES = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_pareto_mixing": op8_pareto_mixing,
     "op9_cross_entropy_difference": op9_cross_entropy_difference,
+    "op10_url_templates": op10_url_templates,
 }
 
 ORACLES: dict[str, str] = {}
