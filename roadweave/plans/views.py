@@ -182,9 +182,8 @@ _NEEDS = {
 
 
 def haversine_sql(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
-    return (
-        f"(2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)))))"
-    )
+    a = f"pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)"
+    return f"(2 * 6371.0088 * asin(sqrt(CASE WHEN {a} > 1 THEN 1.0 ELSE {a} END)))"
 
 
 def with_views(sql: str, views: tuple[str, ...]) -> str:
