@@ -138,7 +138,9 @@ def cross_entropy_difference(
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, -(-total // chunk_bytes))
+    # small inputs still go to as many tasks as a shuffle would have, with a megabyte each at least
+    spread = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total >> 20)
+    chunks = max(1, -(-total // chunk_bytes), spread)
     chunk = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk")
     # both cogroups below put the same exchange on this, so it runs once
     dealt = rows.select(chunk, "doc_id", "text")
