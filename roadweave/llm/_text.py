@@ -22,7 +22,7 @@ _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _BASE = U64(0x9E3779B97F4A7C15)
 _ORDER = _rng.integers(1, 2**63, 16, dtype=np.uint64) * U64(2) + U64(1)
-_POWERS = np.ones(64, np.uint64)
+_POWERS = np.ones(1, np.uint64)
 
 
 def powers(n: int) -> np.ndarray:
