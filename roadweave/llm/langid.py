@@ -177,15 +177,23 @@ def held_out(id_col: str = "doc_id"):
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, landmarks: int = 256) -> Model | None:
     """Fit on at most ``per_language`` documents of each language that are not held out.
 
-    The sample is drawn on ids alone (Spark keeps the smallest hashes of each
-    task before it shuffles); only the presence bits of the sample, 5 KB each,
-    reach the driver.
+    The sample is drawn on ids alone.  Counts by language give a bound on the
+    hash that leaves some 4 * ``per_language`` candidates, so the ranking behind
+    it has as few rows for a language with a third of all documents as for any
+    other.  Of the sample only the presence bits, 5 KB each, reach the
+    driver.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     usable = rows.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out("doc_id") & (F.length("text") > 0))
+    order = F.xxhash64(F.lit(7), "doc_id")
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # order is uniform in [-2**63, 2**63)
+    share = (order.cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    few = usable.select("doc_id", "lang", order.alias("order"), share.alias("share")).join(counts, "lang").filter(F.col("share") * F.col("n") < 4 * per_language)
     first = Window.partitionBy("lang").orderBy("order", "doc_id")
-    chosen = usable.select("doc_id", "lang", F.xxhash64(F.lit(7), "doc_id").alias("order")).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_language)
-    sample = usable.join(chosen.select("doc_id", "lang").distinct(), ["doc_id", "lang"], "left_semi").select("text", "lang")
+    chosen = few.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_language).select("doc_id", "lang").distinct()
+    # at most ``per_language`` ids for each language: sent to all tasks, so that the texts need no shuffle
+    sample = usable.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("text", "lang")
     got = sample.mapInArrow(_packed, "lang string, has boolean, p1 binary, p2 binary, p3 binary").filter("has").toArrow()
     found = sorted(zip(got["lang"].to_pylist(), *(got[c].to_pylist() for c in ("p1", "p2", "p3"))))
     return fit([list(r[1:]) for r in found], [r[0] for r in found], landmarks)
