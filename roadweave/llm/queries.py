@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql
 from .langid import identify_language
 from .merkle import fingerprint_neighbours
 from .minhash import near_duplicates
@@ -94,4 +95,9 @@ QUERIES = {
     "op10_url_templates": op10_url_templates,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_minmax_dedup": sql.OP1,
+    "op2_quality_rules": sql.OP2,
+    "op4_warc_zstd": sql.OP4,
+    "op6_suffix_dedup": sql.OP6,
+}
