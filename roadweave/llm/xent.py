@@ -49,12 +49,12 @@ def _tokens(texts: pa.ChunkedArray, path: str) -> Iterator[np.ndarray]:
 
 def _tally(keys: list[np.ndarray], flags: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys with their counts over all documents and over targets."""
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    flat = np.concatenate(keys)
-    in_target = np.repeat(np.array(flags), [len(k) for k in keys])
-    u, inverse, n = np.unique(flat, return_inverse=True, return_counts=True)
-    return u, n, np.bincount(inverse, weights=in_target, minlength=len(u)).astype(np.int64)
+    none = np.zeros(0, np.int64)
+    u, n = np.unique(np.concatenate([none, *keys]), return_counts=True)
+    ut, nt = np.unique(np.concatenate([none, *(k for k, f in zip(keys, flags) if f)]), return_counts=True)
+    t = np.zeros(len(u), np.int64)
+    t[np.searchsorted(u, ut)] = nt
+    return u, n, t
 
 
 def _counted(path: str, vocabulary: int):
