@@ -457,3 +457,23 @@ def error_cdf(spark, d):
 )
 def error_cdf_legacy(spark, d):
     return MO.error_cdf(V.forecasts(spark, d), legacy=True)
+
+
+@query("smape", "SELECT model, avg(2 * abs(pred - y) / greatest(abs(y) + abs(pred) + 0.1, 0.6)) AS smape FROM fc GROUP BY 1", "fc", "smape")
+def smape(spark, d):
+    return MO.metrics(V.forecasts(spark, d), "model").select("model", "smape")
+
+
+@query("rmse", "SELECT model, sqrt(avg(pow(y - pred, 2))) AS rmse FROM fc GROUP BY 1", "fc", "rmse")
+def rmse(spark, d):
+    return MO.metrics(V.forecasts(spark, d), "model").select("model", "rmse")
+
+
+@query("r2", "SELECT segment, 1 - avg(pow(y - pred, 2)) / nullif(var_pop(y), 0) AS r2 FROM fc GROUP BY 1", "fc", "r2")
+def r2(spark, d):
+    return MO.metrics(V.forecasts(spark, d), "segment").select("segment", "r2")
+
+
+@query("concat_preds", "SELECT model, segment, ts, y, pred FROM fc", "fc", ("y", "pred"))
+def concat_preds(spark, d):
+    return V.forecasts(spark, d)
