@@ -1,7 +1,9 @@
 """Intermediate tables in the folder that the driver and all executors share.
 
-``spark.checkpoint.dir`` names that folder.  Only where it is unset (tests on
-one machine) a temporary folder of this process is used.
+``spark.checkpoint.dir`` names that folder.  Where it is unset, a cluster's
+warehouse folder is used, and a temporary folder only in local mode (tests).
+Tables stay for as long as lazy results may read them; ``release`` deletes those
+of this session.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,6 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="roadweave-"))
         atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
@@ -28,7 +34,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/roadweave/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path := f"{shared_dir(spark)}/roadweave/{name}-{uuid.uuid4().hex}")
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables and archives of this session; results that still read them fail afterwards."""
+    gone = 0
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -43,3 +59,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows, unless the session has a setting of its own.
+
+    Documents are long: batches of Spark's default of 10,000 rows are 30 MB and
+    more, several of which a task holds at a time, in the JVM and in Python.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))

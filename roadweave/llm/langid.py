@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._store import short_batches
+
 ORDERS, BITS = (1, 2, 3), (10, 12, 15)
 WIDTHS = tuple(1 << b for b in BITS)
 _MULTIPLIERS = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))  # odd constants of 32 bits
@@ -201,6 +203,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **training) -> DataFrame:
     """(doc_id, held_out, lang_pred, score), one row per row."""
+    short_batches(docs.sparkSession)
     model = train(docs, id_col, text_col, lang_col, **training)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_predicted(model), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._store import short_batches
 
 LEAF_WORDS, SECTION_PARAGRAPHS = 8, 4
 
@@ -191,6 +192,7 @@ def fingerprint_neighbours(
     well, and the first of all to the last.  One shuffle of the texts, no window
     over all rows; the quantiles are at most ``most_buckets`` numbers.
     """
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = rows.agg(F.count("doc_id")).first()[0]
     buckets = int(min(max(1, -(-n // bucket_rows)), most_buckets))

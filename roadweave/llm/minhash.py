@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 from ._graph import connected_components
-from ._store import materialize
+from ._store import materialize, short_batches
 
 PERMUTATIONS, ROWS = 64, 4
 _rng = np.random.default_rng(41)
@@ -201,6 +201,7 @@ def near_duplicates(
     cluster_bytes: int = 64 << 20,
 ) -> DataFrame:
     """(doc_id, n_shingles, set_key, component_id, kept), one row per input row."""
+    short_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialize(
         texts.mapInArrow(_signed(shingle_words), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "signatures"

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import materialize
+from ._store import materialize, short_batches
 
 END_ID = 0
 _LOADED: dict[str, "ByteTokenizer"] = {}
@@ -242,6 +242,7 @@ def pack_documents(
     with_ids: bool = False,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, [ids,] sequence_id, offset), one row per piece."""
+    short_batches(docs.sparkSession)
     ids = ", ids array<int>" if with_ids else ""
     pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         _pieces(tokenizer_path, capacity, with_ids),

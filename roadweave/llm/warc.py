@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import fresh_path, materialize
+from ._store import fresh_path, materialize, short_batches
 
 DICTIONARY_FRAME, ZSTD_FRAME, ZSTD_DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
 # fixed values of the WARC 1.1 format
@@ -264,6 +264,7 @@ def write_archives(
     join back is on the digest and may be split by AQE where one is common.
     """
     spark = pages.sparkSession
+    short_batches(spark)
     base = fresh_path(spark, "warc")
     fs, path = pyarrow.fs.FileSystem.from_uri(base if "://" in base or base.startswith("file:") else f"file://{base}")
     fs.create_dir(path, recursive=True)
