@@ -77,3 +77,8 @@ def log_size_class(n: Column) -> Column:
 
 def round_half_even(c: Column, digits: int = 0) -> Column:
     return F.bround(c, digits)
+
+
+def colour_or_black(c: Column) -> Column:
+    """Colour codes as they are; anything that is none becomes black."""
+    return F.when(c.startswith("#"), c).otherwise(F.lit("#000000"))

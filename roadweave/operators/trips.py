@@ -214,3 +214,16 @@ def edge_cluster_stats(labelled: DataFrame, ends: tuple[str, ...] = ("begin", "e
     for s in sides[1:]:
         rows = rows.union(s)
     return rows.groupBy("id", "cluster").agg(F.count(F.lit(1)).alias("trips"), F.avg(T.seconds_of_day(F.col("ts"))).alias("mean_clock"))
+
+
+def trip_documents(trips: DataFrame, server: str = "") -> DataFrame:
+    """Trips as they are stored: whole seconds, begin and end as point ids, constant columns of the loader."""
+    return trips.select(
+        "id", "trip_id", "day", "points", F.col("begin.pid").alias("begin"), F.col("end.pid").alias("end"), F.col("dur_s").cast("int").alias("dur"), "km", "km_straight",
+        F.lit(server).alias("server_name"), F.lit(0).alias("indexed_iris"),
+    )
+
+
+def both_ends(edges: DataFrame) -> DataFrame:
+    """(id, places): begins and ends of a car's trips in one array, begins first."""
+    return edges.select("id", F.concat("begins", "ends").alias("places"))

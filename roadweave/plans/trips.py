@@ -220,3 +220,31 @@ def time_clusters(spark, d):
 def heading_clusters(spark, d):
     h = models.heading_clusters(V.gps(spark, d))
     return h.select("road", F.size("centres").alias("n"), F.round(F.get("centres", F.lit(0)), 6).alias("first"))
+
+
+@query("trip_documents", "SELECT id, trip_id, points, arg_min_pid AS begin, arg_max_pid AS \"end\", CAST(trunc(dur_s) AS INTEGER) AS dur, 'node1' AS server_name, 0 AS indexed_iris FROM trips JOIN (SELECT id, trip_id, arg_min(pid, (ts, pid)) AS arg_min_pid, arg_max(pid, (ts, pid)) AS arg_max_pid FROM cut GROUP BY 1, 2) USING (id, trip_id)", ("trips", "cut"))
+def trip_documents(spark, d):
+    return TR.trip_documents(trips(spark, d), "node1").drop("day", "km", "km_straight")
+
+
+@query("both_ends", "SELECT id, CAST(2 * count(*) AS INTEGER) AS places FROM trips GROUP BY 1", "trips")
+def both_ends(spark, d):
+    return TR.both_ends(TR.grouped_edges(trips(spark, d))).select("id", F.size("places").alias("places"))
+
+
+@query("colour_or_black", "SELECT DISTINCT kind, CASE WHEN starts_with(c, '#') THEN c ELSE '#000000' END AS c FROM (SELECT kind, CASE WHEN kind < 'p' THEN '#' || kind ELSE kind END AS c FROM gps)", "gps")
+def colour_or_black(spark, d):
+    from ..functions.traffic import colour_or_black as rule
+
+    k = V.gps(spark, d).select("kind").distinct()
+    return k.select("kind", rule(F.when(F.col("kind") < "p", F.concat(F.lit("#"), F.col("kind"))).otherwise(F.col("kind"))).alias("c"))
+
+
+@query("multi_key_sort", "SELECT road, kind, n, row_number() OVER (ORDER BY n DESC, kind, road) AS r FROM (SELECT road, kind, count(*) AS n FROM gps GROUP BY 1, 2) ORDER BY r LIMIT 50", "gps")
+def multi_key_sort(spark, d):
+    """A report: the 50 largest (road, kind) groups in order of three keys."""
+    from pyspark.sql import Window
+
+    c = V.gps(spark, d).groupBy("road", "kind").agg(F.count(F.lit(1)).alias("n"))
+    top = c.orderBy(F.desc("n"), "kind", "road").limit(50)
+    return top.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "kind", "road")).cast("long"))
