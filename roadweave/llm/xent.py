@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._store import short_batches
 from .packing import tokenizer
 
 
@@ -130,12 +131,13 @@ def cross_entropy_difference(
     alpha: float = 0.1,
     mixture: float = 0.7,
     leave_one_out: bool = True,
-    chunk_bytes: int = 16 << 20,
+    chunk_bytes: int = 8 << 20,
 ) -> DataFrame:
     """(doc_id, n_tokens, loss_target, loss_background, xent_diff), one row per row.
 
     ``targets``: a table with the ids (``id_col``) of target documents.
     """
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # small inputs still go to as many tasks as a shuffle would have, with a megabyte each at least
