@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._store import materialize
+from ._store import materialize, short_batches
 
 EMPTY_SHA256 = sha256(b"").hexdigest()
 _INV = pow(int(T._BASE), -1, 1 << 64)
@@ -96,8 +96,15 @@ def anchors(buf: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray,
 
 
 def _anchored(length: int):
+    """Anchors of the texts of a task; equal texts of a task count once, so a group of copies adds a row per task, not per copy."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.int64)
         for b in batches:
+            keys, first = np.unique(b.column("k").to_numpy(zero_copy_only=False), return_index=True)
+            fresh = np.sort(first[~np.isin(keys, seen, assume_unique=True)])
+            seen = np.union1d(seen, keys)
+            b = b.take(pa.array(fresh))
             keys = b.column("k").to_numpy(zero_copy_only=False)
             buf, offs = T.buffers(b.column("text"))
             for i, j in T.slices(offs):
@@ -158,7 +165,8 @@ def decode_run(run: bytes) -> Iterator[tuple[int, Entry]]:
     at += 16 * total
     lat, o, before = at + int(rest_n.sum()), 0, b""
     for s, r, l, m in zip(shared.tolist(), rest_n.tolist(), left_n.tolist(), places.tolist()):
-        before = before[:s] + body[at : at + r]
+        if r or s < len(before):  # an equal string is kept once
+            before = before[:s] + body[at : at + r]
         yield s, (before, body[lat : lat + l], keys[o : o + m], pos[o : o + m])
         at, lat, o = at + r, lat + l, o + m
 
@@ -220,14 +228,18 @@ def merge_runs(runs: list[Iterator[tuple[int, Entry]]]) -> Iterator[tuple[int, E
             node //= 2
 
 
-def covered(shared: np.ndarray, entries: list[Entry], length: int) -> tuple[np.ndarray, np.ndarray]:
+Place = tuple[int, bytes, list[int], list[int]]  # bytes to the right, left side, texts, positions
+
+
+def covered(shared: np.ndarray, entries: list[Place], length: int) -> tuple[np.ndarray, np.ndarray]:
     """(smallest, largest) offset d for which the window that starts d bytes left of the anchor is elsewhere too; 1, 0 if none.
 
-    ``shared``: what each entry's right side has in common with the one before.
+    ``shared``: what each entry's right side has in common with the one before;
+    the right sides themselves are no longer needed.
     """
     n, half = len(entries), length // 2
     most_left = np.array([min(len(e[1]), length - half) for e in entries])
-    right_len = np.array([len(e[0]) - 8 for e in entries])
+    right_len = np.array([e[0] for e in entries])
     lo, hi = np.ones(n, np.int64), np.zeros(n, np.int64)
     first = np.maximum(length - right_len, 0)  # a window needs length - d bytes to the right
     group = np.cumsum(shared < half)
@@ -259,7 +271,7 @@ def covered(shared: np.ndarray, entries: list[Entry], length: int) -> tuple[np.n
     return lo, hi
 
 
-def _runs(length: int, parts: int, flush: int = 40_000):
+def _runs(length: int, parts: int, flush: int = 20_000):
     """Front-coded runs of the anchored suffixes of a task, one for each range of hashes it has."""
     half = length - length // 2
 
@@ -297,7 +309,7 @@ def _merged(length: int):
     def run(table: pa.Table) -> pa.Table:
         out_k, out_lo, out_hi = [], [], []
 
-        def finish(shared: list[int], entries: list[Entry]) -> None:
+        def finish(shared: list[int], entries: list[Place]) -> None:
             for e in entries:  # a text whose row is repeated names a place twice
                 if len(e[2]) > 1:
                     places = sorted(set(zip(e[2], e[3])))
@@ -310,20 +322,20 @@ def _merged(length: int):
                 out_hi.extend(p - int(lo[i]) + length for p in e[3])
 
         shared: list[int] = []
-        entries: list[Entry] = []
+        entries: list[Place] = []
         half = length // 2
         runs = [decode_run(r.as_py()) for r in table.column("run")]
         for n, e in merge_runs(runs):
-            n = max(n - 8, 0)
-            if entries and n == length and len(e[0]) == len(entries[-1][0]) and e[1] == entries[-1][1]:
+            n, right = max(n - 8, 0), len(e[0]) - 8
+            if entries and n == length and right == entries[-1][0] and e[1] == entries[-1][1]:
                 entries[-1][2].extend(e[2])
                 entries[-1][3].extend(e[3])
                 continue
-            if n < half and len(entries) >= 20_000:
+            if n < half and len(entries) >= 5_000:
                 finish(shared, entries)
                 shared, entries = [], []
             shared.append(n if entries else 0)
-            entries.append(e)
+            entries.append((right, *e[1:]))
         if entries:
             finish(shared, entries)
         return pa.table({"k": pa.array(out_k, pa.int64()), "lo": pa.array(out_lo, pa.int64()), "hi": pa.array(out_hi, pa.int64())})
@@ -385,7 +397,7 @@ def remove_repeats(
     part_anchors: int = 60_000,
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, rests): per input row (doc_id, k, n_bytes, n_removed, n_spans, kept_sha256), and the rest (k, kept_text) of each text that loses some but not all."""
-    spark = docs.sparkSession
+    short_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("k"), text.alias("text"))
     ids = materialize(keyed.select("doc_id", "k", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "texts")
