@@ -2,7 +2,7 @@
 
 Texts of an Arrow batch are looked at as one byte buffer with offsets; words,
 word hashes and shingle hashes come from a few passes of array operations over
-slices of about a megabyte, so memory follows the longest text, not the batch.
+slices of a quarter megabyte, so memory follows the longest text, not the batch.
 """
 
 from __future__ import annotations
@@ -59,8 +59,8 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(offs: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``most`` bytes, at least one text each."""
+def slices(offs: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` bytes, at least one text each; short ones keep the arrays in the cache."""
     i, n = 0, len(offs) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + most, "right")) - 1)
