@@ -144,8 +144,10 @@ def cross_entropy_difference(
     spread = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total >> 20)
     chunks = max(1, -(-total // chunk_bytes), spread)
     chunk = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk")
+    # rows without an id are never targets and may go anywhere
+    anywhere = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(chunks)).alias("chunk")
     # both cogroups below put the same exchange on this, so it runs once
-    dealt = rows.select(chunk, "doc_id", "text")
+    dealt = rows.select(anywhere, "doc_id", "text")
     ids = targets.select(F.col(id_col).cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
     wanted = ids.select(chunk, "doc_id")
     counted = dealt.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(
