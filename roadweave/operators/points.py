@@ -200,8 +200,8 @@ def presence_of_neighbours(points: DataFrame, minutes: int = 15) -> DataFrame:
 def diffusion(points: DataFrame, minutes: int = 15, normalise: bool = False) -> DataFrame:
     """(src, dst, cnt): points on dst one slot after the same car was on src, summed; one more on the diagonal.
 
-    The reference form takes a car's points at q + 1 once for each group it was in
-    at q; both sides are summed per car and slot before the equi-join.
+    A car's points at q + 1 count once for each group that it was in at q; both
+    sides are summed per car and slot before the equi-join.
     """
     at = points.groupBy("id", "road", T.bucket_start(F.col("ts"), minutes).alias("start")).agg(F.count(F.lit(1)).alias("n"))
     now = at.select("id", F.col("road").alias("src"), (F.col("start") + F.expr(f"INTERVAL {minutes} MINUTES")).alias("start"))
