@@ -67,3 +67,83 @@ def test_similar_branches_share_labels(spark):
     got = filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
     assert {r.verdict for r in got if r.path != "/d/1"} == {"block"} and {r.branch for r in got if r.path != "/d/1"} == {"/+/*"}
     assert [r.verdict for r in got if r.path == "/d/1"] == ["allow"]
+
+
+def brute_tree(urls, rules, max_depth=6, max_children=12, min_share=0.02, min_rows=30, merge_z=1.96, prior=0.5, strength=2.0):
+    """url -> (template, branch, purity), by plain loops over the rules of the method."""
+    import re
+    from collections import Counter, defaultdict
+
+    from roadweave.llm.urltree import VARIABLE
+
+    def by_rule(h, p):
+        fits = [r for r in rules if (h == r[0] or h.endswith("." + r[0])) and p.startswith(r[1])]
+        return max(fits, key=lambda r: len(r[0] + r[1]))[2] if fits else None
+
+    count = Counter(parse(u) for u in urls)
+    template = dict.fromkeys(count, "")
+    for level in range(max_depth):
+        nodes, segs = Counter(), {}
+        for (h, p), n in count.items():
+            parts = [s for s in p.split("/") if s]
+            if level < len(parts):
+                s = "*" if re.search(VARIABLE, parts[level]) else parts[level]
+                segs[h, p] = s
+                nodes[h, template[h, p], s] += n
+        total, children = Counter(), Counter()
+        for (h, t, s), n in nodes.items():
+            total[h, t] += n
+            children[h, t] += 1
+        for (h, p), s in segs.items():
+            t = template[h, p]
+            n = nodes[h, t, s]
+            keep = children[h, t] <= max_children or (n >= min_rows and n >= min_share * total[h, t])
+            template[h, p] = f"{t}/{s if keep else '*'}"
+    for h, p in template:
+        if len([s for s in p.split("/") if s]) > max_depth:
+            template[h, p] += "/**"
+    allow, block = Counter(), Counter()
+    for (h, p), n in count.items():
+        allow[h, template[h, p]] += n * (by_rule(h, p) == "allow")
+        block[h, template[h, p]] += n * (by_rule(h, p) == "block")
+    names = {(h, template[h, p]) for h, p in count}
+    group = {(h, t): (h, re.sub(r"/[^/*]+((?:/\*+)*)$", r"/+\1", t)) for h, t in names}
+    pool = defaultdict(lambda: [0, 0])
+    for x in names:
+        pool[group[x]][0] += block[x]
+        pool[group[x]][1] += block[x] + allow[x]
+    merged = {}
+    for x in names:
+        n = block[x] + allow[x]
+        if n:
+            r = pool[group[x]][0] / pool[group[x]][1]
+            merged[x] = abs(block[x] / n - r) / (max(r * (1 - r), 1e-9) / n) ** 0.5 < merge_z
+    sums = defaultdict(lambda: [0, 0])
+    for x in names:
+        if merged.get(x):
+            sums[group[x]][0] += block[x]
+            sums[group[x]][1] += block[x] + allow[x]
+    out = {}
+    for u in urls:
+        h, p = parse(u)
+        x = h, template[h, p]
+        b, n = sums[group[x]] if merged.get(x) else (block[x], block[x] + allow[x])
+        out[u] = (x[1], group[x][1] if merged.get(x) else x[1], (b + prior * strength) / (n + strength))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tree_against_brute_force(spark, seed):
+    import random
+
+    rnd = random.Random(seed)
+    words = ["en", "de", "shop", "buy", "news", "x1", "item12345", "2024-01-02", "deadbeef01", "a.b", "*"] + [f"w{chr(97 + i)}q" for i in range(20)]
+    urls = ["http://" + rnd.choice(["a.io", "b.io"]) + "".join("/" + rnd.choice(words) for _ in range(rnd.randrange(9))) for _ in range(400)]
+    rules = [("a.io", "/buy", "block"), ("a.io", "/en", "allow"), ("b.io", "/shop", "block"), ("a.io", "/buy/en", "allow"), ("b.io", "/de", "block")]
+    got = filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules, max_children=5, min_rows=4).collect()
+    want = brute_tree(urls, rules, max_children=5, min_rows=4)
+    for r in got:
+        t, b, p = want[urls[r.page_id]]
+        assert (r.template, r.branch, r.purity) == (t, b, pytest.approx(p))
+        if r.rule is None:
+            assert r.verdict == ("block" if p >= 0.8 else "allow")
