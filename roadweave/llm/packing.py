@@ -80,6 +80,16 @@ def tokenizer(path: str) -> ByteTokenizer:
     return _LOADED[path]
 
 
+def _short(ids: np.ndarray) -> bytes:
+    """Ids as 2 or 4 bytes each behind a byte that says which: they are written and shuffled once."""
+    width = 2 if ids.max() < 65536 else 4
+    return bytes([width]) + ids.astype(f"<u{width}").tobytes()
+
+
+def _long(short: bytes) -> np.ndarray:
+    return np.frombuffer(short, f"<u{short[0]}", offset=1).astype(np.int32)
+
+
 def _pieces(path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, task = tokenizer(path), TaskContext.get().partitionId()
@@ -92,7 +102,7 @@ def _pieces(path: str, capacity: int, with_ids: bool):
                 arrays = [pa.array(c, pa.int64()) for c in cols]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "rank"]
                 if with_ids:
-                    arrays.append(pa.array(tokens, pa.list_(pa.int32())))
+                    arrays.append(pa.array(tokens, pa.binary()))
                     names.append("ids")
                 return pa.RecordBatch.from_arrays([*arrays, pa.array([task] * len(rows), pa.int32())], [*names, "task"])
 
@@ -106,7 +116,7 @@ def _pieces(path: str, capacity: int, with_ids: bool):
                     rows.append((doc, n, lo, hi - lo, zlib.crc32(part.tobytes()), int(ranks[hi - lo])))
                     ranks[hi - lo] += 1
                     if with_ids:
-                        tokens.append(part.astype(np.int32))
+                        tokens.append(_short(part))
                 held += len(ids)
                 if held > 1_000_000:
                     yield batch()
@@ -225,7 +235,8 @@ def _placed(plan: Plan):
         for b in batches:
             sequence, offset = plan.place(b.column("length").to_numpy(), b.column("place").to_numpy())
             names = [c for c in b.schema.names if c != "place"]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
+            cols = [pa.array([_long(x.as_py()) for x in b.column(c)], pa.list_(pa.int32())) if c == "ids" else b.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     return run
 
@@ -243,10 +254,10 @@ def pack_documents(
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, [ids,] sequence_id, offset), one row per piece."""
     short_batches(docs.sparkSession)
-    ids = ", ids array<int>" if with_ids else ""
+    ids, stored = (", ids array<int>", ", ids binary") if with_ids else ("", "")
     pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         _pieces(tokenizer_path, capacity, with_ids),
-        f"doc_id long, piece long, start long, length long, ids_crc32 long, rank long{ids}, task int",
+        f"doc_id long, piece long, start long, length long, ids_crc32 long, rank long{stored}, task int",
     )
     pieces = materialize(pieces, "pieces")
     by_task = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
