@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import materialize
+from ._store import discard, materialize
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -16,7 +16,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     split.  Every round is written to the shared folder; nodes and edges never
     reach the driver, only a count and a checksum do.
     """
-    now, seen = edges.select("u", "v").filter("u <> v"), None
+    now, seen = edges.select("u", "v").filter("u <> v"), None  # a frame of its own: the caller's table is not discarded
     for _ in range(most_rounds):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
@@ -28,7 +28,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             .union(low.select(F.col("n").alias("u"), F.col("m").alias("v")))
             .distinct()
         )
-        now = materialize(small, "components")
+        before, now = now, materialize(small, "components")
+        discard(before)
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             break

@@ -42,11 +42,15 @@ def release(spark: SparkSession) -> int:
     """Delete the intermediate tables and archives of this session; results that still read them fail afterwards."""
     gone = 0
     while _MADE:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        gone += _delete(spark, _MADE.pop())
     return gone
 
 
+def _delete(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -58,7 +62,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete a table of ``materialize`` whose last reader has been written itself."""
+    path = getattr(df, "_stored_at", None)
+    if path in _MADE:
+        _MADE.remove(path)
+        _delete(df.sparkSession, path)
 
 
 def short_batches(spark: SparkSession, rows: int = 1000) -> None:

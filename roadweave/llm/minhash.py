@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 from ._graph import connected_components
-from ._store import materialize, short_batches
+from ._store import discard, materialize, short_batches
 
 PERMUTATIONS, ROWS = 64, 4
 _rng = np.random.default_rng(41)
@@ -212,7 +212,9 @@ def near_duplicates(
     )
     active, links, rounds = classes, None, 0
     while True:
-        found = connected_components(materialize(star_edges(active), "stars"))
+        stars = materialize(star_edges(active), "stars")
+        found = connected_components(stars)
+        discard(stars)
         members = materialize(
             found.select(F.col("node").alias("set_key"), F.col("component").alias("cluster")).join(active.select("set_key", "rep", "n"), "set_key"), "clusters"
         )

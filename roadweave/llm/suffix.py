@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._store import materialize, short_batches
+from ._store import discard, materialize, short_batches
 
 EMPTY_SHA256 = sha256(b"").hexdigest()
 _INV = pow(int(T._BASE), -1, 1 << 64)
@@ -420,6 +420,7 @@ def remove_repeats(
         keyed.join(wanted, (F.col("k") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("k", "copies", "hot", "at", "grams", "text"),
         "candidates",
     )
+    discard(found)
     total = texts.filter("not hot").agg(F.sum(F.size("at"))).first()[0] or 0
     parts = max(1, -(-total // part_anchors))
     runs = texts.filter("not hot").select("k", "text", "at", "grams").mapInArrow(_runs(length, parts), "part long, run binary")
@@ -436,6 +437,7 @@ def remove_repeats(
     rests = materialize(
         partly.select("k", "text", "los", "his").mapInArrow(_without(length), "k long, n_removed long, n_spans long, kept_sha256 string, kept_text string"), "rests"
     )
+    discard(texts)
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     joined = ids.join(classes.select(F.col("k").alias("key"), "copies"), F.col("k") == F.col("key")).drop("key")
     joined = joined.join(rests.drop("kept_text").withColumnRenamed("k", "key"), F.col("k") == F.col("key"), "left").drop("key")
