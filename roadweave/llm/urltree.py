@@ -15,7 +15,11 @@ What no rule decides is judged by the template tree:
    block rates do not differ from the pooled rate (two-sided z below ``merge_z``)
    are merged and share their labels.
 4. A template is rejected if its smoothed purity, (block + k prior) / (labels + k),
-   reaches ``purity``.  Without labels the purity is the prior: the url is allowed.
+   reaches ``purity``.  Without labels the purity is the prior: the url is allowed;
+   or, with ``back_off``, it is that of the branches around it: from the host down,
+   each template prefix takes its parent's purity as prior and adds the labels of all
+   urls below it, and the deepest prefix with labels counts.  A host without labels
+   keeps the prior.
 
 All steps are DataFrame aggregates and equi-joins on what is left of the urls: a
 host with a third of all rows is spread by path and segment, never one group.
@@ -107,12 +111,31 @@ def template_purity(
     )
 
 
+def prefix_purity(labelled: DataFrame, prior: float = 0.5, strength: float = 2.0) -> DataFrame:
+    """(host, template, backed): for templates without labels, the purity of their prefixes, each smoothed by its parent's."""
+    depth = F.size(F.split("template", "/")) - 1
+    level = F.explode(F.sequence(F.lit(0), F.greatest(depth - 1, F.lit(0)))).alias("level")
+    up = labelled.select("host", "template", "allow", "block", level)
+    up = up.withColumn("prefix", F.concat_ws("/", F.slice(F.split("template", "/"), F.lit(1), F.col("level") + 1)))
+    sums = (
+        up.filter("allow + block > 0").groupBy("host", "prefix")
+        .agg(F.sum("block").alias("p_block"), F.sum(F.col("allow") + F.col("block")).alias("p_labels"))
+    )
+    chain = (
+        up.filter("allow + block = 0").join(sums, ["host", "prefix"]).groupBy("host", "template")
+        .agg(F.array_sort(F.collect_list(F.struct("level", "p_block", "p_labels"))).alias("chain"))
+    )
+    smooth = F.aggregate("chain", F.lit(prior), lambda p, x: (x["p_block"] + p * strength) / (x["p_labels"] + strength))
+    return chain.select("host", "template", smooth.alias("backed"))
+
+
 def filter_urls(
     pages: DataFrame,
     rules: list[Rule],
     id_col: str = "page_id",
     url_col: str = "url",
     purity: float = 0.8,
+    back_off: bool = False,
     **tree,
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity), one row per row."""
@@ -130,7 +153,10 @@ def filter_urls(
     )
     templates = path_templates(paths.select("host", "path", "n"), **tree)
     labelled = paths.join(templates, ["host", "path"]).groupBy("host", "template").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
-    judged = templates.join(template_purity(labelled), ["host", "template"])
+    judged = template_purity(labelled)
+    if back_off:
+        judged = judged.join(prefix_purity(labelled), ["host", "template"], "left").withColumn("purity", F.coalesce("backed", "purity")).drop("backed")
+    judged = templates.join(judged, ["host", "template"])
     out = rows.join(judged, ["host", "path"], "left")
     method = F.when(F.col("purity") >= purity, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("given", method).alias("verdict"), "template", "branch", "purity")

@@ -147,3 +147,23 @@ def test_tree_against_brute_force(spark, seed):
         assert (r.template, r.branch, r.purity) == (t, b, pytest.approx(p))
         if r.rule is None:
             assert r.verdict == ("block" if p >= 0.8 else "allow")
+
+
+def test_unlabelled_templates_back_off_to_their_prefixes(spark):
+    rules = [("b.net", "/fr/", "block"), ("b.net", "/es/", "block"), ("c.com", "/x/bad/", "block"), ("c.com", "/y/", "allow")]
+    urls = [f"http://b.net/{p}/{i}" for p in ("fr", "es", "en") for i in range(9)] + [f"http://d.org/en/{i}" for i in range(9)]
+    urls += [f"http://c.com/{p}/{i}" for p in ("x/bad", "x/new", "y", "z") for i in range(9)]
+    got = filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules, back_off=True).collect()
+    by = {r.path.rsplit("/", 1)[0] + r.host[:1]: r for r in got}
+    host = (9 + 1) / (18 + 2)
+    assert by["/enb"].purity == pytest.approx((18 + 1) / (18 + 2)) and by["/enb"].verdict == "block"
+    assert by["/x/newc"].purity == pytest.approx((9 + 2 * host) / (9 + 2)) and by["/x/newc"].verdict == "block"
+    assert by["/zc"].purity == pytest.approx(host) and by["/zc"].verdict == "allow"
+    assert by["/end"].purity == 0.5 and by["/end"].verdict == "allow"
+
+
+def test_query_decides_urls_without_a_rule(spark):
+    from roadweave.llm.queries import op10_url_templates
+
+    verdicts = {(r.host.rsplit(".", 1)[-1], r.verdict) for r in op10_url_templates(spark, "/root/testdata/sf0.01").filter("rule is null").collect()}
+    assert {("net", "block"), ("org", "allow")} <= verdicts
