@@ -92,12 +92,15 @@ def next_slot_samples(long: DataFrame) -> DataFrame:
 
 def lasso_path(x: np.ndarray, y: np.ndarray, alpha: float, rounds: int = 2000, tol: float = 1e-8) -> np.ndarray:
     """Coordinate descent for 1/(2n) |y - Xw|^2 + alpha |w|_1 on centred data."""
-    n, p = x.shape
-    gram, xy = x.T @ x / n, x.T @ y / n
-    w = np.zeros(p)
+    return descend(x.T @ x / len(y), x.T @ y / len(y), alpha, np.zeros(x.shape[1]), rounds, tol)
+
+
+def descend(gram: np.ndarray, xy: np.ndarray, alpha: float, w: np.ndarray, rounds: int = 2000, tol: float = 1e-8) -> np.ndarray:
+    """``lasso_path`` on products of the data, from the weights ``w`` on."""
+    w = w.copy()
     for _ in range(rounds):
         largest = 0.0
-        for j in range(p):
+        for j in range(len(w)):
             if gram[j, j] == 0:
                 continue
             r = xy[j] - gram[j] @ w + gram[j, j] * w[j]
@@ -135,16 +138,36 @@ def lasso_cv(x: np.ndarray, y: np.ndarray, alphas: np.ndarray, folds: int = 5) -
     return best[1], best[0]
 
 
+def alpha_path(x: np.ndarray, y: np.ndarray, n: int = 20, eps: float = 1e-4) -> np.ndarray:
+    """``n`` penalties in equal steps of their logarithm, from the least that leaves no weight down to its ``eps``-th part."""
+    top = max(float(np.abs(x.T @ y).max()) / len(y), np.finfo(float).resolution)
+    return np.logspace(np.log10(top), np.log10(top * eps), n)
+
+
+def lasso_cv_path(x: np.ndarray, y: np.ndarray, n_alphas: int = 20, eps: float = 1e-4, folds: int = 5) -> tuple[float, float]:
+    """(best alpha of the path, its mean squared error) over contiguous folds, without intercept; ties go to the largest alpha."""
+    alphas = alpha_path(x, y, n_alphas, eps)
+    errors = np.zeros((folds, n_alphas))
+    for k, part in enumerate(np.array_split(np.arange(len(y)), folds)):
+        rest = np.setdiff1d(np.arange(len(y)), part)
+        gram, xy, w = x[rest].T @ x[rest] / len(rest), x[rest].T @ y[rest] / len(rest), np.zeros(x.shape[1])
+        for i, a in enumerate(alphas):
+            w = descend(gram, xy, a, w)
+            errors[k, i] = ((y[part] - x[part] @ w) ** 2).mean()
+    best = int(errors.mean(axis=0).argmin())
+    return float(alphas[best]), float(errors.mean(axis=0)[best])
+
+
 def log_alphas(low: float, high: float, n: int) -> list[float]:
     return np.logspace(np.log10(low), np.log10(high), n).tolist()
 
 
-def fit_per_segment(samples: DataFrame, alpha: float = 0.0, alphas: list[float] | None = None) -> DataFrame:
+def fit_per_segment(samples: DataFrame, alpha: float = 0.0, alphas: list[float] | None = None, n_alphas: int = 0) -> DataFrame:
     """(segment, alpha, intercept, coef, mse): one model per target segment on all segments' present speeds.
 
     ``samples``: (ts, segments, x, y) as from ``next_slot_samples``.  Each target's
     task gets the design matrix with its own column of y, so targets fit in
-    parallel; ``alphas`` searches by cross-validation.
+    parallel; ``alphas`` searches by cross-validation, ``n_alphas`` over the target's own path.
     """
     rows = samples.select("ts", "x", F.posexplode("y").alias("k", "target"), "segments")
     rows = rows.select(F.get("segments", F.col("k")).alias("segment"), "ts", "x", "target")
@@ -153,7 +176,8 @@ def fit_per_segment(samples: DataFrame, alpha: float = 0.0, alphas: list[float]
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts")
         x, y = np.stack(pdf["x"].to_numpy()), pdf["target"].to_numpy()
-        a = lasso_cv(x, y, np.array(alphas))[0] if alphas else alpha
+        path = alpha_path(x - x.mean(axis=0), y - y.mean(), n_alphas) if n_alphas else alphas
+        a = lasso_cv(x, y, np.array(path))[0] if path is not None and len(path) else alpha
         c, w = fit_linear(x, y, a)
         return pd.DataFrame({"segment": [pdf["segment"].iloc[0]], "alpha": [float(a)], "intercept": [c], "coef": [w.tolist()], "mse": [float(((y - c - x @ w) ** 2).mean())]})
 
@@ -175,8 +199,13 @@ def fit_per_slice(samples: DataFrame, alpha: float, hours: int = 1) -> DataFrame
     return rows.groupBy("slice", "segment").applyInPandas(fit, f"slice int, segment {kind}, intercept double, coef array<double>, mse double")
 
 
-def regime_losses(samples: DataFrame, cuts: list[int], alpha: float, folds: int = 5) -> DataFrame:
-    """(t, segment, left_loss, right_loss): cross-validated errors of one lasso before and one behind each cut of the day."""
+def regime_losses(samples: DataFrame, cuts: list[int], alpha: float | None = None, folds: int = 5, n_alphas: int = 20, eps: float = 1e-4) -> DataFrame:
+    """(t, segment, left_loss, right_loss, left_alpha, right_alpha): cross-validated errors of one lasso before and one behind each cut of the day.
+
+    Without ``alpha`` each side selects its own from ``lasso_cv_path``, has no intercept
+    (``samples`` are centred, see ``centre_by_clock``) and slot t is on the right only;
+    with a fixed ``alpha`` there is an intercept and slot t is on both sides.
+    """
     slot = F.dense_rank().over(Window.partitionBy(T.day(F.col("ts"))).orderBy("ts")) - 1
     rows = samples.withColumn("slot", slot).withColumn("t", F.explode(F.array(*[F.lit(c) for c in cuts])))
     rows = rows.select("t", "slot", "ts", "x", F.posexplode("y").alias("k", "target"), "segments")
@@ -185,21 +214,40 @@ def regime_losses(samples: DataFrame, cuts: list[int], alpha: float, folds: int
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts")
-        t, losses = int(pdf["t"].iloc[0]), []
-        for side in (pdf[pdf["slot"] <= t], pdf[pdf["slot"] >= t]):
+        t, found = int(pdf["t"].iloc[0]), []
+        for side in (pdf[pdf["slot"] < t if alpha is None else pdf["slot"] <= t], pdf[pdf["slot"] >= t]):
             if len(side) < folds:
-                losses.append(float("nan"))
+                found.append((float("nan"), float("nan")))
                 continue
-            losses.append(lasso_cv(np.stack(side["x"].to_numpy()), side["target"].to_numpy(), np.array([alpha]), folds)[1])
-        return pd.DataFrame({"t": [t], "segment": [pdf["segment"].iloc[0]], "left_loss": [losses[0]], "right_loss": [losses[1]]})
+            x, y = np.stack(side["x"].to_numpy()), side["target"].to_numpy()
+            found.append(lasso_cv_path(x, y, n_alphas, eps, folds) if alpha is None else lasso_cv(x, y, np.array([alpha]), folds))
+        (a, left), (b, right) = found
+        return pd.DataFrame({"t": [t], "segment": [pdf["segment"].iloc[0]], "left_loss": [left], "right_loss": [right], "left_alpha": [a], "right_alpha": [b]})
+
+    return rows.groupBy("t", "segment").applyInPandas(fit, f"t int, segment {kind}, left_loss double, right_loss double, left_alpha double, right_alpha double")
+
+
+def centre_by_clock(long: DataFrame) -> DataFrame:
+    """Speeds less the segment's mean at the time of day."""
+    w = Window.partitionBy("segment", tod())
+    return long.withColumn("speed", F.col("speed") - F.avg("speed").over(w))
 
-    return rows.groupBy("t", "segment").applyInPandas(fit, f"t int, segment {kind}, left_loss double, right_loss double")
+
+def best_regime(losses: DataFrame, slots: int) -> DataFrame:
+    """``losses`` with the weighted loss of their cut and whether it is the least of all cuts; ties go to the earliest."""
+    rows = F.collect_list(F.struct(*losses.columns)).alias("rows")
+    cuts = losses.groupBy("t").agg(F.avg(_weighted(slots)).alias("loss"), rows)
+    first = F.first("t").over(Window.orderBy("loss", "t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # a row for each cut of the day
+    return cuts.withColumn("best", F.col("t") == first).select(F.inline("rows"), "loss", "best")
 
 
 def weighted_regime_loss(losses: DataFrame, slots: int) -> DataFrame:
     """(t, loss): both sides weighted by their share of the day's ``slots``, averaged over segments."""
-    w = (F.col("t") * F.col("left_loss") + (slots - F.col("t")) * F.col("right_loss")) / F.lit(float(slots))
-    return losses.groupBy("t").agg(F.avg(w).alias("loss"))
+    return losses.groupBy("t").agg(F.avg(_weighted(slots)).alias("loss"))
+
+
+def _weighted(slots: int) -> Column:
+    return (F.col("t") * F.col("left_loss") + (slots - F.col("t")) * F.col("right_loss")) / F.lit(float(slots))
 
 
 def empirical_risk(long: DataFrame, models: DataFrame) -> DataFrame:

@@ -131,3 +131,41 @@ def test_sample_is_repeatable(spark):
     df = spark.range(100).withColumnRenamed("id", "k")
     a, b = (sorted(r.k for r in reshape.sample_rows(x, 10, "k", 3).collect()) for x in (df, df.repartition(7)))
     assert a == b and len(a) == 10
+
+
+def test_regime_search_selects_a_penalty_on_each_side(spark):
+    rnd = np.random.default_rng(6)
+    a = rnd.normal(size=(10, 8, 2))
+    for i in range(1, 8):
+        a[:, i, 0] += 3 * a[:, i - 1, 0 if i <= 3 else 1]
+    a -= a.mean(axis=0)
+    rows = [(f"s{j}", datetime(2024, 1, 1 + d, i), float(a[d, i, j]), 1) for d in range(10) for i in range(8) for j in range(2)]
+    losses = MO.regime_losses(MO.next_slot_samples(spark.createDataFrame(rows, SCHEMA)), list(range(1, 7)))
+    got = MO.best_regime(losses, 7).collect()
+    assert len(got) == 12 and {r.t for r in got if r.best} == {3}
+
+    def plain(x, y):
+        top = np.abs(x.T @ y).max() / len(y)
+        best = (float("inf"), 0.0)
+        for alpha in np.logspace(np.log10(top), np.log10(top / 1e4), 20):
+            errors = []
+            for part in np.array_split(np.arange(len(y)), 5):
+                rest = np.setdiff1d(np.arange(len(y)), part)
+                errors.append(((y[part] - x[part] @ MO.lasso_path(x[rest], y[rest], alpha)) ** 2).mean())
+            best = min(best, (np.mean(errors), alpha))
+        return best
+
+    for r in got:
+        j = int(r.segment[1])
+        for side, loss, alpha in ((slice(0, r.t), r.left_loss, r.left_alpha), (slice(r.t, 7), r.right_loss, r.right_alpha)):
+            x, y = np.concatenate(a[:, :7][:, side]), np.concatenate(a[:, 1:, j][:, side])
+            assert (loss, alpha) == pytest.approx(plain(x, y), rel=1e-4)
+
+
+def test_regime_query_tries_every_cut(spark):
+    from roadweave.plans.registry import QUERIES
+    from roadweave.plans import matrix  # noqa: F401
+
+    got = QUERIES["regime_search"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.t for r in got} == set(range(1, 23)) and len({r.t for r in got if r.best}) == 1
+    assert len({r.left_alpha for r in got}) > 1
