@@ -328,12 +328,27 @@ def merge_criteria(spark, d):
 
 @query("merge_segments")
 def merge_segments(spark, d):
-    """Greedy merge of the 25 roads' legs, driver loop; tested on small graphs."""
-    r = V.roads(spark, d)
-    k = F.col("road")
-    segs = r.select(
-        F.concat(F.lit("r"), k.cast("string")).alias("segment"), F.lit("x").alias("highway"), geo.path_km(F.col("coords")).alias("km"), k.alias("first"), (k + 1).alias("last"),
-        F.array(k, k + 1).alias("nodes"), "coords",
-    )
-    e = segs.select(F.col("segment").alias("src"), F.col("last").alias("n")).join(segs.select(F.col("segment").alias("dst"), F.col("first").alias("n")), "n").select("src", "dst")
-    return merging.merge_segments(segs, e, profiles(spark, d), list(range(24)))
+    """Greedy merge of the whole directed road graph by component; tested against one loop over all."""
+    segs = G.directed_segments(V.ways(spark, d)).withColumn("km", geo.path_km(F.col("coords")))
+    speeds = V.way_profiles(spark, d).join(segs.select("way", "segment"), "way").select("segment", "slot", "speed")
+    return merging.merge_segments(segs, G.linear_edges(segs), speeds, list(range(7)))
+
+
+@query("road_adjacency", f"SELECT segment AS src, segment AS dst, 1 AS w FROM ends UNION SELECT src, dst, 1 FROM ({LINEAR})", "ends")
+def road_adjacency(spark, d):
+    return G.adjacency(*road_graph(spark, d))
+
+
+@query("road_adjacency_full_outer", f"SELECT coalesce(a.src, e.src) AS src, coalesce(a.dst, e.dst) AS dst, 1 AS w FROM (SELECT segment AS src, segment AS dst FROM ends) a FULL OUTER JOIN ({LINEAR}) e ON a.src = e.src AND a.dst = e.dst", "ends")
+def road_adjacency_full_outer(spark, d):
+    return G.adjacency_outer(*road_graph(spark, d))
+
+
+@query("road_adjacency_symmetric", f"WITH l AS ({LINEAR}), a0 AS (SELECT segment AS src, segment AS dst, 1 AS w FROM ends UNION SELECT src, dst, 1 FROM l) SELECT src, dst, CAST(sum(w) AS BIGINT) AS w FROM (SELECT * FROM a0 UNION ALL SELECT dst, src, w FROM a0) GROUP BY 1, 2", "ends")
+def road_adjacency_symmetric(spark, d):
+    return G.symmetric(G.adjacency(*road_graph(spark, d)))
+
+
+def road_graph(spark, d):
+    s = G.directed_segments(V.ways(spark, d))
+    return s, G.linear_edges(s)

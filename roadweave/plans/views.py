@@ -75,6 +75,12 @@ def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.withColumn("coords", coords).join(o, "way")
 
 
+def way_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean quantity of a way's lines by weekday of shipping, as (way, slot, speed): 7 slots, most unknown."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.groupBy(F.col("l_orderkey").alias("way"), F.weekday("l_shipdate").alias("slot")).agg(F.avg("l_quantity").alias("speed"))
+
+
 def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """25 roads of two legs, diagonals through the cells of a 5 x 5 grid; every third is one-way, some against their nodes."""
     k = F.col("n_nationkey").cast("long")

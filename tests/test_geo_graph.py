@@ -184,3 +184,39 @@ def test_merge_segments_table(spark):
     assert set(got) == {"s0", "s1", "s2"} and got["s0"] in got.values()
     with pytest.raises(ValueError):
         merge_segments(segs, edges, prof, [0, 1], most_segments=2)
+
+
+def test_merge_by_component_is_one_loop_over_all(spark):
+    import random
+
+    rnd = random.Random(5)
+    rows, speeds = [], []
+    for i in range(120):
+        x, y = rnd.randrange(40), rnd.randrange(40)
+        rows.append((f"s{i}", rnd.choice("abc"), rnd.random(), x, y, [x, y], [(float(x), 0.0), (float(y), 1.0)]))
+        speeds += [(f"s{i}", k, 10 * rnd.random()) for k in range(4) if rnd.random() < 0.3]
+    segs = spark.createDataFrame(rows, "segment string, highway string, km double, first long, last long, nodes array<long>, coords array<struct<lon:double,lat:double>>")
+    links = [(a[0], b[0]) for a in rows for b in rows if a[4] == b[3] and a is not b]
+    got = {r.segment: r.grp for r in merge_segments(segs, spark.createDataFrame(links, "src string, dst string"), spark.createDataFrame(speeds, "segment string, slot int, speed double"), list(range(4))).collect()}
+    rows.sort()
+    at = {r[0]: i for i, r in enumerate(rows)}
+    table = np.full((len(rows), 4), np.nan)
+    for s, k, v in speeds:
+        table[at[s], k] = v
+    groups = []
+    for i, (s, kind, km, x, y, nodes, c) in enumerate(rows):
+        az = math.atan2(c[1][0] - c[0][0], c[1][1] - c[0][1])
+        way = math.cos(az), math.sin(az)
+        groups.append(Group(i, kind, km, x, y, way, way, set(nodes), {at[a] for a, b in links if b == s}, {at[b] for a, b in links if a == s}, table[i]))
+    want = {rows[i][0]: rows[g][0] for i, g in greedy_merge(groups).items()}
+    assert got == want and len(set(want.values())) < len(rows)
+
+
+def test_merge_query_runs_on_the_road_graph(spark):
+    from roadweave.plans import graph, views  # noqa: F401
+    from roadweave.plans.registry import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    got = QUERIES["merge_segments"](spark, d).collect()
+    assert sorted(r.segment for r in got) == sorted(r.segment for r in G.directed_segments(views.ways(spark, d)).filter(F.size("coords") > 1).select("segment").collect())
+    assert len({r.grp for r in got}) < len(got)
