@@ -308,6 +308,28 @@ def segment_attributes(spark, d):
     return G.segment_attributes(s, shares).select("segment", "share", "head", "tail")
 
 
+LON, LAT = (f"({v} + ({{0}} * {m} % {r}) / CAST(10000 AS DOUBLE))" for v, m, r in ((V.WEST, 7919, 2167), (V.SOUTH, 104729, 1025)))
+AZIMUTH = "atan2({} - {}, {} - {})"
+HEAD = AZIMUTH.format(*(f.format(f"p[{i}]") for f in (LON, LAT) for i in (-1, -2)))
+TAIL = AZIMUTH.format(*(f.format(f"p[{i}]") for f in (LON, LAT) for i in (2, 1)))
+
+
+@query(
+    "segment_attributes_all",
+    f"""WITH sh AS (SELECT l_orderkey AS way, count(DISTINCT isodow(l_shipdate)) / 7.0 AS share FROM lineitem GROUP BY 1),
+      a AS (SELECT s.way, s.segment, s.nodes, CASE WHEN w.oneway = -1 THEN list_reverse(s.nodes) ELSE s.nodes END AS p FROM segs s JOIN ways w ON w.way = s.way)
+      SELECT a.segment, sh.share, nodes[-1] AS head, nodes[1] AS tail, cos({HEAD}) AS head_cos, sin({HEAD}) AS head_sin, cos({TAIL}) AS tail_cos, sin({TAIL}) AS tail_sin
+      FROM a JOIN sh ON sh.way = a.way WHERE len(nodes) > 1""",
+    ("segs", "ways"),
+    ("share", "head_cos", "head_sin", "tail_cos", "tail_sin"),
+)
+def segment_attributes_all(spark, d):
+    """Shares of weekdays with a known speed, ends and directions of all road segments."""
+    s = G.directed_segments(V.ways(spark, d))
+    shares = V.way_profiles(spark, d).groupBy("way").agg((F.count("speed") / F.lit(7.0)).alias("share"))
+    return G.segment_attributes(s, s.select("way", "segment").join(shares, "way").select("segment", "share"))
+
+
 @query(
     "merge_criteria",
     PROFILE + """, sh AS (SELECT road, count(v) / 24.0 AS share FROM p GROUP BY 1)

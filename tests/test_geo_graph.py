@@ -220,3 +220,13 @@ def test_merge_query_runs_on_the_road_graph(spark):
     got = QUERIES["merge_segments"](spark, d).collect()
     assert sorted(r.segment for r in got) == sorted(r.segment for r in G.directed_segments(views.ways(spark, d)).filter(F.size("coords") > 1).select("segment").collect())
     assert len({r.grp for r in got}) < len(got)
+
+
+def test_segment_attributes_query_has_shares_and_directions(spark):
+    from roadweave.plans import graph  # noqa: F401
+    from roadweave.plans.registry import QUERIES
+
+    got = QUERIES["segment_attributes_all"](spark, "/root/testdata/sf0.001").collect()
+    assert len({r.share for r in got}) > 2 and min(r.share for r in got) > 0
+    assert all(abs(r[f"{e}_cos"] ** 2 + r[f"{e}_sin"] ** 2 - 1) < 1e-5 for r in got for e in ("head", "tail"))
+    assert len({r.head_cos for r in got}) > 100
