@@ -348,7 +348,7 @@ def home_classifier(spark, d):
     data = stats.join(home, ["id", "kind"], "left").fillna(0.0, ["label"]).withColumn("fold", F.xxhash64("id") > 0)
     cols = ["n", "hour_mean", "hour_std", "speed_mean", "loc_std"]
     one, two = data.filter("fold"), data.filter("not fold")
-    pred = MO.home_classifier(one, two, cols, trees=10)[1].union(MO.home_classifier(two, one, cols, trees=10)[1])
+    pred = MO.home_classifier(one, two, cols)[1].union(MO.home_classifier(two, one, cols)[1])
     return MO.confusion(pred)
 
 

@@ -169,3 +169,22 @@ def test_regime_query_tries_every_cut(spark):
     got = QUERIES["regime_search"](spark, "/root/testdata/sf0.001").collect()
     assert {r.t for r in got} == set(range(1, 23)) and len({r.t for r in got if r.best}) == 1
     assert len({r.left_alpha for r in got}) > 1
+
+
+def test_home_classifier_query_has_as_many_trees_as_the_operator(spark, monkeypatch):
+    import inspect
+
+    from roadweave.plans import matrix
+    from roadweave.plans.registry import QUERIES
+
+    trees, real = [], matrix.MO.home_classifier
+
+    def seen(*a, **k):
+        bound = inspect.signature(real).bind(*a, **k)
+        bound.apply_defaults()
+        trees.append(bound.arguments["trees"])
+        return None, a[1].select("label", F.lit(0.0).alias("pred"))
+
+    monkeypatch.setattr(matrix.MO, "home_classifier", seen)
+    QUERIES["home_classifier"](spark, "/root/testdata/sf0.001")
+    assert trees == [50, 50]
