@@ -45,7 +45,8 @@ class ByteTokenizer:
     """A byte-level BPE file of the ``tokenizers`` library.
 
     Texts of common Latin script go through a faster engine with the same ranks
-    and the same split pattern; any other goes through ``tokenizers`` itself.
+    and the same split pattern; any other, and one that contains an added token's
+    content (which is that token's id), goes through ``tokenizers`` itself.
     """
 
     # the split pattern of byte-level BPE files without one of their own (fixed value)
@@ -55,21 +56,21 @@ class ByteTokenizer:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        special = {t["content"] for t in spec.get("added_tokens", [])}
+        self.added = sorted(special)
         self.fast = None
         if fast:
             import tiktoken
 
-            with open(path, encoding="utf-8") as f:
-                spec = json.load(f)
-            special = {t["content"] for t in spec.get("added_tokens", [])}
             plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
             byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(plain))}
             ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
             self.fast = tiktoken.Encoding("bytes", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> list[int]:
-        if self.fast is not None and (text.isascii() or max(text) < "ɐ"):
+        if self.fast is not None and (text.isascii() or max(text) < "ɐ") and not any(t in text for t in self.added):
             return self.fast.encode_ordinary(text)
         return self.slow.encode(text, add_special_tokens=False).ids
 

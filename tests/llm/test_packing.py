@@ -79,3 +79,11 @@ def test_fast_engine_gives_the_same_ids(spark):
 
 def test_empty_table(spark, odd_docs):
     assert pack_documents(odd_docs.limit(0), PATH).count() == 0
+
+
+def test_added_tokens_in_texts_have_their_own_id(spark):
+    text = "a <|endoftext|> b"
+    want = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert 50256 in want and ByteTokenizer(PATH).encode(text) == want == ByteTokenizer(PATH, fast=False).encode(text)
+    got = pack_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH).first()
+    assert (got.length, got.ids_crc32) == (len(want) + 1, zlib.crc32(np.array([*want, 0], "<u4").tobytes()))
