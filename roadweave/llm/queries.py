@@ -62,7 +62,9 @@ def op5_kernel_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(_read(spark, sf_dir, "documents"))[0].select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """Removal by 400 bytes; beside it, what is in repeated passages of more than 50 words, most of which are shorter than that."""
+    rows, _ = remove_repeats(_read(spark, sf_dir, "documents"), length=400, passage_bytes=200, passage_words=50)
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes", "n_passages")
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,21 +48,36 @@ r AS (SELECT p.page_id, p.b, CASE WHEN t.top <> p.page_id OR p.page_id IS NULL T
 SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r
 """
 
-OP6 = """
-WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
-w AS (SELECT doc_id, s, md5(b[s:s + 399]) AS h FROM (SELECT doc_id, b, unnest(generate_series(1, octet_length(b) - 399)) AS s FROM d WHERE octet_length(b) >= 400)),
-c AS (SELECT h FROM w GROUP BY 1 HAVING count(*) > 1),
-x AS (SELECT w.doc_id, w.s, CASE WHEN w.s - lag(w.s) OVER (PARTITION BY w.doc_id ORDER BY w.s) <= 400 THEN 0 ELSE 1 END AS fresh FROM w JOIN c ON c.h = w.h),
-g AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM x),
-p AS (SELECT doc_id, span, min(s) AS lo, max(s) + 400 AS hi FROM g GROUP BY 1, 2),
+def _runs(length: int, p: str) -> str:
+    """Common table expressions: windows of ``length`` bytes that start twice, joined to maximal runs [lo, hi) of each document (from 1)."""
+    return f"""
+{p}w AS (SELECT doc_id, s, md5(b[s:s + {length - 1}]) AS h FROM (SELECT doc_id, b, unnest(generate_series(1, octet_length(b) - {length - 1})) AS s FROM d WHERE octet_length(b) >= {length})),
+{p}c AS (SELECT h FROM {p}w GROUP BY 1 HAVING count(*) > 1),
+{p}x AS (SELECT w.doc_id, w.s, CASE WHEN w.s - lag(w.s) OVER (PARTITION BY w.doc_id ORDER BY w.s) <= {length} THEN 0 ELSE 1 END AS fresh FROM {p}w w JOIN {p}c c ON c.h = w.h),
+{p}g AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM {p}x),
+{p} AS (SELECT doc_id, span, min(s) AS lo, max(s) + {length} AS hi FROM {p}g GROUP BY 1, 2)"""
+
+
+OP6 = rf"""
+WITH d AS (SELECT doc_id, text AS t, encode(coalesce(text, '')) AS b FROM documents),
+{_runs(400, "p")},
+{_runs(200, "q")},
 k AS (SELECT p.doc_id, lo, hi, lag(hi, 1, CAST(1 AS BIGINT)) OVER (PARTITION BY p.doc_id ORDER BY lo) AS behind FROM p),
 piece AS (
   SELECT k.doc_id, k.behind, hex(d.b[k.behind:k.lo - 1]) AS v FROM k JOIN d ON d.doc_id = k.doc_id WHERE k.lo > k.behind
   UNION ALL SELECT e.doc_id, e.hi, hex(d.b[e.hi:octet_length(d.b)]) FROM (SELECT doc_id, max(hi) AS hi FROM p GROUP BY 1) e JOIN d ON d.doc_id = e.doc_id WHERE e.hi <= octet_length(d.b)
 ),
 kept AS (SELECT doc_id, string_agg(v, '' ORDER BY behind) AS v FROM piece GROUP BY 1),
-sums AS (SELECT doc_id, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans FROM p GROUP BY 1)
+sums AS (SELECT doc_id, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans FROM p GROUP BY 1),
+step AS (
+  SELECT doc_id, i, octet_length(encode(x)) AS n, octet_length(encode(ltrim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) AS m
+  FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(t, '[ 	-]*[^ 	-]+') AS l FROM d))
+),
+word AS (SELECT doc_id, m, sum(n) OVER (PARTITION BY doc_id ORDER BY i) + 1 AS behind FROM step),
+found AS (SELECT q.doc_id, q.lo, q.hi FROM q JOIN word ON word.doc_id = q.doc_id AND word.behind - word.m >= q.lo AND word.behind <= q.hi GROUP BY 1, 2, 3 HAVING count(*) > 50),
+passages AS (SELECT doc_id, CAST(sum(hi - lo) AS BIGINT) AS n_passage_bytes, count(*) AS n_passages FROM found GROUP BY 1)
 SELECT d.doc_id, octet_length(d.b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-  CASE WHEN n_spans IS NULL THEN sha256(d.b) ELSE sha256(unhex(coalesce(kept.v, ''))) END AS kept_sha256
-FROM d LEFT JOIN sums ON sums.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+  CASE WHEN n_spans IS NULL THEN sha256(d.b) ELSE sha256(unhex(coalesce(kept.v, ''))) END AS kept_sha256,
+  coalesce(n_passage_bytes, 0) AS n_passage_bytes, coalesce(n_passages, 0) AS n_passages
+FROM d LEFT JOIN sums ON sums.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN passages ON passages.doc_id = d.doc_id
 """

@@ -4,11 +4,12 @@ A byte goes if a string of ``length`` bytes that covers it also starts anywhere
 else.  Sorting every suffix of the corpus would exchange many times the input,
 so only suffixes that can matter are sorted, and the result stays exact:
 
-1. Anchors.  In every window of ``length`` bytes the smallest half-length gram
-   (by hash) is an anchor.  Equal windows have the same anchors at the same
-   places, so two equal windows are found through a common anchor.  About one
-   byte in a hundred is an anchor; one whose gram is nowhere else is dropped.
-2. Runs.  The suffixes at the remaining anchors, cut at ``length`` bytes, are
+1. Anchors.  In every window of the smallest length asked for, the smallest gram
+   of half that length (by hash) is an anchor.  Equal windows have the same
+   anchors at the same places, so two equal windows are found through a common
+   anchor.  About four bytes in ``length`` are anchors; one whose gram is nowhere
+   else is dropped.
+2. Runs.  The suffixes at the remaining anchors, cut at the largest length, are
    sorted where they are, led by the gram's hash (equal grams have equal
    hashes), front-coded against their neighbour and exchanged by range of hash.
    Equal suffixes with equal left sides travel once, with a list of places.
@@ -18,12 +19,19 @@ so only suffixes that can matter are sorted, and the result stays exact:
    merged order comes with its array of common prefixes.
 4. Windows.  With the common prefixes to the right and, from a second sort, to
    the left of the anchors, every offset of a window around an anchor is decided
-   by comparing numbers; the covered bytes are joined per document.
+   by comparing numbers; the covered bytes are joined per document.  Windows of
+   several lengths are decided from one merge.
+
+Passages.  ``passages`` counts repeats in words: strings of ``passage_bytes`` (200,
+about 50 tokens) that start elsewhere too are joined to runs, and a run with more
+than ``passage_words`` whole words is a passage.  ``remove_repeats`` reports them
+beside the removal by bytes; ``without_repeats`` cuts them.
 
 Texts that are equal as a whole take part once; if there are two or more they
 go entirely.  A gram at more than ``hot_anchors`` places (whatever a third of all
 documents shares) is not sorted in one task: each window at its anchors gets a
-128-bit digest, and digests are counted with map-side sums.
+128-bit digest, and digests are counted with map-side sums.  Grams, digests and
+texts are joined with tables written before, so AQE can split a common key.
 
 Cases: null and empty texts have no bytes and stay as they are; repeated rows
 are copies; ids may be null or repeat; an empty table gives an empty result.
@@ -33,6 +41,7 @@ distinct texts: 3 in 10,000).
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 from hashlib import blake2b, sha256
@@ -47,6 +56,8 @@ from . import _text as T
 from ._store import discard, materialize, short_batches
 
 EMPTY_SHA256 = sha256(b"").hexdigest()
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+SPACE = frozenset(b" \t\n\x0b\x0c\r")
 _INV = pow(int(T._BASE), -1, 1 << 64)
 _INVERSE = np.ones(1, np.uint64)
 
@@ -231,18 +242,16 @@ def merge_runs(runs: list[Iterator[tuple[int, Entry]]]) -> Iterator[tuple[int, E
 Place = tuple[int, bytes, list[int], list[int]]  # bytes to the right, left side, texts, positions
 
 
-def covered(shared: np.ndarray, entries: list[Place], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(smallest, largest) offset d for which the window that starts d bytes left of the anchor is elsewhere too; 1, 0 if none.
+def covered(shared: np.ndarray, entries: list[Place], gram: int, lengths: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length: (smallest, largest) offset d for which the window that starts d bytes left of the anchor is elsewhere too; 1, 0 if none.
 
     ``shared``: what each entry's right side has in common with the one before;
     the right sides themselves are no longer needed.
     """
-    n, half = len(entries), length // 2
-    most_left = np.array([min(len(e[1]), length - half) for e in entries])
+    n = len(entries)
+    left_len = np.array([len(e[1]) for e in entries])
     right_len = np.array([e[0] for e in entries])
-    lo, hi = np.ones(n, np.int64), np.zeros(n, np.int64)
-    first = np.maximum(length - right_len, 0)  # a window needs length - d bytes to the right
-    group = np.cumsum(shared < half)
+    group = np.cumsum(shared < gram)
     rev = [e[1][::-1] for e in entries]
     order = np.array(sorted(range(n), key=lambda i: (group[i], rev[i])), np.int64)
     both = np.zeros(n, np.int64)
@@ -250,30 +259,34 @@ def covered(shared: np.ndarray, entries: list[Place], length: int) -> tuple[np.n
         i, j = order[a - 1], order[a]
         both[a] = common_prefix(rev[i], rev[j]) if group[i] == group[j] else -1
     many = np.array([len(e[2]) > 1 for e in entries])
-    for d in range(length - half + 1):
-        r = np.cumsum(shared < length - d)
-        l = np.empty(n, np.int64)
-        l[order] = np.cumsum(both < d)
-        ok = (most_left >= d) & (first <= d)
-        at = np.flatnonzero(ok)
-        if not len(at):
-            continue
-        key = r[at] * (n + 1) + l[at]
-        o = np.argsort(key, kind="stable")
-        same = key[o][1:] == key[o][:-1]
-        twice = many[at].copy()
-        twice[o[1:][same]] = True
-        twice[o[:-1][same]] = True
-        hit = at[twice]
-        fresh = hit[lo[hit] > hi[hit]]
-        lo[fresh] = d
-        hi[hit] = d
-    return lo, hi
-
-
-def _runs(length: int, parts: int, flush: int = 20_000):
+    found = []
+    for length in lengths:
+        lo, hi = np.ones(n, np.int64), np.zeros(n, np.int64)
+        first = np.maximum(length - right_len, 0)  # a window needs length - d bytes to the right
+        for d in range(length - gram + 1):
+            at = np.flatnonzero((left_len >= d) & (first <= d))
+            if not len(at):
+                continue
+            r = np.cumsum(shared < length - d)
+            l = np.empty(n, np.int64)
+            l[order] = np.cumsum(both < d)
+            key = r[at] * (n + 1) + l[at]
+            o = np.argsort(key, kind="stable")
+            same = key[o][1:] == key[o][:-1]
+            twice = many[at].copy()
+            twice[o[1:][same]] = True
+            twice[o[:-1][same]] = True
+            hit = at[twice]
+            fresh = hit[lo[hit] > hi[hit]]
+            lo[fresh] = d
+            hi[hit] = d
+        found.append((lo, hi))
+    return found
+
+
+def _runs(gram: int, length: int, parts: int, flush: int = 20_000):
     """Front-coded runs of the anchored suffixes of a task, one for each range of hashes it has."""
-    half = length - length // 2
+    side = length - gram
 
     def flushed(found: dict[tuple[bytes, bytes], tuple[list[int], list[int]]]) -> Iterator[pa.RecordBatch]:
         ordered = sorted(found)
@@ -293,7 +306,7 @@ def _runs(length: int, parts: int, flush: int = 20_000):
                 for p, h in zip(at.as_py(), grams.as_py()):
                     key = (h.to_bytes(8, "big", signed=True), p)
                     right = bytes([key[0][0] ^ 0x80]) + key[0][1:] + raw[p : p + length]
-                    ks, ps = found.setdefault((right, raw[max(0, p - half) : p]), ([], []))
+                    ks, ps = found.setdefault((right, raw[max(0, p - side) : p]), ([], []))
                     ks.append(k)
                     ps.append(p)
                     n += 1
@@ -305,84 +318,110 @@ def _runs(length: int, parts: int, flush: int = 20_000):
     return run
 
 
-def _merged(length: int):
+def _merged(gram: int, lengths: tuple[int, ...]):
+    """(text, length of the windows, run of bytes) for each anchor that has repeated windows."""
+    longest = max(lengths)
+
     def run(table: pa.Table) -> pa.Table:
-        out_k, out_lo, out_hi = [], [], []
+        out_k, out_of, out_lo, out_hi = [], [], [], []
 
         def finish(shared: list[int], entries: list[Place]) -> None:
             for e in entries:  # a text whose row is repeated names a place twice
                 if len(e[2]) > 1:
                     places = sorted(set(zip(e[2], e[3])))
                     e[2][:], e[3][:] = [p[0] for p in places], [p[1] for p in places]
-            lo, hi = covered(np.array(shared), entries, length)
-            for i in np.flatnonzero(lo <= hi):
-                e = entries[i]
-                out_k.extend(e[2])
-                out_lo.extend(p - int(hi[i]) for p in e[3])
-                out_hi.extend(p - int(lo[i]) + length for p in e[3])
+            for length, (lo, hi) in zip(lengths, covered(np.array(shared), entries, gram, lengths)):
+                for i in np.flatnonzero(lo <= hi):
+                    e = entries[i]
+                    out_k.extend(e[2])
+                    out_of.extend([length] * len(e[2]))
+                    out_lo.extend(p - int(hi[i]) for p in e[3])
+                    out_hi.extend(p - int(lo[i]) + length for p in e[3])
 
         shared: list[int] = []
         entries: list[Place] = []
-        half = length // 2
         runs = [decode_run(r.as_py()) for r in table.column("run")]
         for n, e in merge_runs(runs):
             n, right = max(n - 8, 0), len(e[0]) - 8
-            if entries and n == length and right == entries[-1][0] and e[1] == entries[-1][1]:
+            if entries and n == longest and right == entries[-1][0] and e[1] == entries[-1][1]:
                 entries[-1][2].extend(e[2])
                 entries[-1][3].extend(e[3])
                 continue
-            if n < half and len(entries) >= 5_000:
+            if n < gram and len(entries) >= 5_000:
                 finish(shared, entries)
                 shared, entries = [], []
             shared.append(n if entries else 0)
             entries.append((right, *e[1:]))
         if entries:
             finish(shared, entries)
-        return pa.table({"k": pa.array(out_k, pa.int64()), "lo": pa.array(out_lo, pa.int64()), "hi": pa.array(out_hi, pa.int64())})
+        return pa.table({"k": pa.array(out_k, pa.int64()), "of": pa.array(out_of, pa.int32()), "lo": pa.array(out_lo, pa.int64()), "hi": pa.array(out_hi, pa.int64())})
 
     return run
 
 
-def _window_digests(length: int):
-    """(digest, text, start) of every window at a hot anchor."""
-    half = length - length // 2
+def _window_digests(gram: int, lengths: tuple[int, ...]):
+    """(digest, text, length, start) of every window at a hot anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for text, k, at in zip(b.column("text"), b.column("k").to_pylist(), b.column("at")):
                 raw = text.as_py().encode()
-                starts = sorted({s for p in at.as_py() for s in range(max(0, p - half), min(p, len(raw) - length) + 1)})
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([blake2b(raw[s : s + length], digest_size=16).digest() for s in starts], pa.binary()), pa.array([k] * len(starts), pa.int64()), pa.array(starts, pa.int64())],
-                    ["w", "k", "lo"],
-                )
+                for length in lengths:
+                    starts = sorted({s for p in at.as_py() for s in range(max(0, p - length + gram), min(p, len(raw) - length) + 1)})
+                    digests = [blake2b(raw[s : s + length], digest_size=16).digest() for s in starts]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(digests, pa.binary()), pa.array([k] * len(starts), pa.int64()), pa.array([length] * len(starts), pa.int32()), pa.array(starts, pa.int64())],
+                        ["w", "k", "of", "lo"],
+                    )
 
     return run
 
 
-def _without(length: int):
-    """Texts without their covered bytes."""
+def joined_runs(los: list[int], his: list[int]) -> list[list[int]]:
+    """Maximal runs [lo, hi) of bytes that the spans cover."""
+    runs: list[list[int]] = []
+    for lo, hi in sorted(zip(los, his)):
+        if runs and lo <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], hi)
+        else:
+            runs.append([lo, hi])
+    return runs
+
+
+def whole_words(raw: bytes, lo: int, hi: int) -> int:
+    """Words of ``raw`` that lie in [lo, hi) as a whole."""
+    n = sum(1 for _ in WORD.finditer(raw, lo, hi))
+    cut_left = lo > 0 and n and raw[lo - 1] not in SPACE and raw[lo] not in SPACE
+    cut_right = hi < len(raw) and n and raw[hi - 1] not in SPACE and raw[hi] not in SPACE
+    return max(0, n - cut_left - cut_right)
+
+
+def passages(raw: bytes, runs: list[list[int]], words: int) -> list[list[int]]:
+    return [r for r in runs if whole_words(raw, *r) > words]
+
+
+def _without(length: int, passage_bytes: int | None, passage_words: int, cut: str):
+    """What is covered in each text, and the text without it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for text, k, los, his in zip(b.column("text"), b.column("k").to_pylist(), b.column("los"), b.column("his")):
+            for text, k, spans in zip(b.column("text"), b.column("k").to_pylist(), b.column("spans").to_pylist()):
                 raw = text.as_py().encode()
-                merged: list[list[int]] = []
-                for lo, hi in sorted(zip(los.as_py(), his.as_py())):
-                    if merged and lo <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], hi)
-                    else:
-                        merged.append([lo, hi])
+                by = {of: joined_runs(*zip(*((s["lo"], s["hi"]) for s in spans if s["of"] == of))) for of in {s["of"] for s in spans}}
+                removed = by.get(length, [])
+                found = passages(raw, by.get(passage_bytes, []), passage_words)
                 keep, at = [], 0
-                for lo, hi in merged:
+                for lo, hi in found if cut == "passages" else removed:
                     keep.append(raw[at:lo])
                     at = hi
                 kept = b"".join([*keep, raw[at:]])
-                rows.append((k, sum(hi - lo for lo, hi in merged), len(merged), sha256(kept).hexdigest(), kept.decode(errors="ignore")))
-            cols = list(zip(*rows)) if rows else [[]] * 5
+                size = lambda runs: sum(hi - lo for lo, hi in runs)
+                rows.append((k, size(removed), len(removed), size(found), len(found), sha256(kept).hexdigest(), kept.decode(errors="ignore")))
+            cols = list(zip(*rows)) if rows else [[]] * 7
+            kinds = (pa.int64(),) * 5 + (pa.string(),) * 2
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["k", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+                [pa.array(c, t) for c, t in zip(cols, kinds)], ["k", "n_removed", "n_spans", "n_passage_bytes", "n_passages", "kept_sha256", "kept_text"]
             )
 
     return run
@@ -392,28 +431,46 @@ def remove_repeats(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    length: int = 400,
+    length: int | None = 400,
+    passage_bytes: int | None = None,
+    passage_words: int = 50,
+    cut: str = "length",
     hot_anchors: int = 200_000,
     part_anchors: int = 60_000,
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows, rests): per input row (doc_id, k, n_bytes, n_removed, n_spans, kept_sha256), and the rest (k, kept_text) of each text that loses some but not all."""
+    """(rows, rests): per input row (doc_id, k, n_bytes, n_removed, n_spans, n_passage_bytes, n_passages, kept_sha256), and the rest (k, kept_text) of each text that loses some but not all.
+
+    ``length`` gives n_removed and n_spans, ``passage_bytes`` n_passage_bytes and
+    n_passages; either may be None and then counts nothing.  ``cut`` says which
+    of them ("length" or "passages") the kept text is without.
+    """
     short_batches(docs.sparkSession)
+    lengths = tuple(sorted({x for x in (length, passage_bytes) if x}))
+    least, longest = lengths[0], lengths[-1]
+    gram = least // 2
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("k"), text.alias("text"))
-    ids = materialize(keyed.select("doc_id", "k", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "texts")
+    ids = materialize(
+        keyed.select(
+            "doc_id", "k", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"),
+            (F.regexp_count("text", F.lit(WORD.pattern.decode())) if passage_bytes else F.lit(0)).cast("long").alias("words"),
+        ),
+        "texts",
+    )
     found = materialize(
-        keyed.filter(F.octet_length("text") >= length).select("k", "text").mapInArrow(_anchored(length), "h long, k long, pos long"), "anchors"
+        keyed.filter(F.octet_length("text") >= least).select("k", "text").mapInArrow(_anchored(least), "h long, k long, pos long"), "anchors"
     )
     place = F.xxhash64("k", "pos")
-    repeated = (
+    repeated = materialize(
         found.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count(F.lit(1)).alias("n"))
-        .filter("a <> b").select("h", (F.col("n") > hot_anchors).alias("hot"))
+        .filter("a <> b").select(F.col("h").alias("gram"), (F.col("n") > hot_anchors).alias("hot")),
+        "grams",
     )
     of_text = (
-        found.join(repeated, "h").groupBy("k", "hot").agg(F.collect_set(F.struct("pos", "h")).alias("at"))
+        found.join(repeated, F.col("h") == F.col("gram")).groupBy("k", "hot").agg(F.collect_set(F.struct("pos", "h")).alias("at"))
         .select("k", "hot", F.col("at.pos").alias("at"), F.col("at.h").alias("grams"))
     )
-    classes = ids.groupBy("k").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = materialize(ids.groupBy("k").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "copies")
     wanted = of_text.join(classes, "k").withColumnRenamed("k", "key")
     # rows of one text and one id may repeat; their places are told apart by (text, position) only
     texts = materialize(
@@ -421,47 +478,70 @@ def remove_repeats(
         "candidates",
     )
     discard(found)
+    discard(repeated)
     total = texts.filter("not hot").agg(F.sum(F.size("at"))).first()[0] or 0
     parts = max(1, -(-total // part_anchors))
-    runs = texts.filter("not hot").select("k", "text", "at", "grams").mapInArrow(_runs(length, parts), "part long, run binary")
+    runs = texts.filter("not hot").select("k", "text", "at", "grams").mapInArrow(_runs(gram, longest, parts), "part long, run binary")
     # as many tasks as ranges: by bytes alone AQE would join ranges until a task grows with the corpus
-    spans = runs.repartition(parts, "part").groupBy("part").applyInArrow(_merged(length), "k long, lo long, hi long")
+    spans = runs.repartition(parts, "part").groupBy("part").applyInArrow(_merged(gram, lengths), "k long, of int, lo long, hi long")
     if texts.filter("hot").limit(1).count():
         windows = materialize(
-            texts.filter("hot").select("k", "text", "at").mapInArrow(_window_digests(length), "w binary, k long, lo long").distinct(), "windows"
+            texts.filter("hot").select("k", "text", "at").mapInArrow(_window_digests(gram, lengths), "w binary, k long, of int, lo long").distinct(), "windows"
         )
-        twice = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w")
-        spans = spans.union(windows.join(twice, "w").select("k", "lo", (F.col("lo") + length).alias("hi")))
-    spans = spans.groupBy("k").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
+        twice = materialize(windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("w").alias("digest")), "digests")
+        spans = spans.union(windows.join(twice, F.col("w") == F.col("digest")).select("k", "of", "lo", (F.col("lo") + F.col("of")).alias("hi")))
+    spans = spans.groupBy("k").agg(F.collect_list(F.struct("of", "lo", "hi")).alias("spans"))
     partly = texts.filter("copies = 1").select("k", "text").dropDuplicates(["k"]).join(spans, "k")
     rests = materialize(
-        partly.select("k", "text", "los", "his").mapInArrow(_without(length), "k long, n_removed long, n_spans long, kept_sha256 string, kept_text string"), "rests"
+        partly.select("k", "text", "spans").mapInArrow(
+            _without(length or 0, passage_bytes, passage_words, cut),
+            "k long, n_removed long, n_spans long, n_passage_bytes long, n_passages long, kept_sha256 string, kept_text string",
+        ),
+        "rests",
     )
     discard(texts)
-    gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    joined = ids.join(classes.select(F.col("k").alias("key"), "copies"), F.col("k") == F.col("key")).drop("key")
-    joined = joined.join(rests.drop("kept_text").withColumnRenamed("k", "key"), F.col("k") == F.col("key"), "left").drop("key")
+    copied = F.col("copies") > 1
+    gone = copied & (F.col("n_bytes") >= length) if length else F.lit(False)
+    passage = copied & (F.col("n_bytes") >= passage_bytes) & (F.col("words") > passage_words) if passage_bytes else F.lit(False)
+    # one join on the text, with a written table: copies of one text may be a third of all rows
+    of_k = materialize(classes.select("k", "copies").join(rests.drop("kept_text"), "k", "left").withColumnRenamed("k", "key"), "covered")
+    joined = ids.join(of_k, F.col("k") == F.col("key")).drop("key")
+    whole = lambda test, value, part: F.when(test, value).otherwise(F.coalesce(part, F.lit(0))).cast("long").alias(part)
     rows = joined.select(
         "doc_id",
         "k",
         "n_bytes",
-        F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(gone, F.lit(EMPTY_SHA256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        whole(gone, F.col("n_bytes"), "n_removed"),
+        whole(gone, F.lit(1), "n_spans"),
+        whole(passage, F.col("n_bytes"), "n_passage_bytes"),
+        whole(passage, F.lit(1), "n_passages"),
+        F.when(passage if cut == "passages" else gone, F.lit(EMPTY_SHA256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     )
     return rows, rests.select("k", "kept_text")
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", **more) -> DataFrame:
+def without_repeats(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    length_col: str = "n_chars",
+    passage_bytes: int = 200,
+    passage_words: int = 50,
+    **more,
+) -> DataFrame:
     """``docs`` with repeated passages cut from the texts and their lengths set anew.
 
     Every row stays; a text that repeats as a whole becomes empty.  Of a
-    character that lost some of its bytes, the others go as well.
+    character that lost some of its bytes, the others go as well.  Columns of
+    any name pass unchanged; a table without ``length_col`` gets none.
     """
-    rows, rests = remove_repeats(docs, id_col, text_col, **more)
-    gone = rows.filter("n_bytes > 0 and n_removed = n_bytes").select("k").distinct().withColumn("kept_text", F.lit(""))
-    changed = gone.union(rests.join(gone.select("k"), "k", "left_anti")).withColumnRenamed("k", "__k").withColumnRenamed("kept_text", "__rest")
-    keyed = docs.withColumn("__at", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    out = keyed.join(changed, F.col("__at") == F.col("__k"), "left")
-    out = out.withColumn(text_col, F.coalesce("__rest", F.col(text_col))).drop("__rest", "__k", "__at")
-    return out.withColumn(length_col, F.when(F.col(text_col).isNotNull(), F.length(text_col).cast("long")).otherwise(F.col(length_col)))
+    rows, rests = remove_repeats(docs, id_col, text_col, None, passage_bytes, passage_words, "passages", **more)
+    gone = rows.filter("n_bytes > 0 and n_passage_bytes = n_bytes").select("k").distinct().withColumn("rest", F.lit(""))
+    changed = materialize(gone.union(rests.join(gone.select("k"), "k", "left_anti")), "changed")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("at"))
+    out = keyed.join(changed, F.col("at") == F.col("k"), "left")
+    new = F.coalesce("rest", F.col("row")[text_col])
+    size = F.when(new.isNotNull(), F.length(new).cast("long")).otherwise(F.col("row")[length_col] if length_col in docs.columns else F.lit(None))
+    kinds = dict(docs.dtypes)
+    fresh = {text_col: new, length_col: size}
+    return out.select(*[(fresh[c].cast(kinds[c]) if c in fresh else F.col("row")[c]).alias(c) for c in docs.columns])

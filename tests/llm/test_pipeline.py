@@ -5,7 +5,7 @@ from tests.llm.test_minhash import brute as components
 from tests.llm.test_mixing import targets
 from tests.llm.test_packing import check as check_packed
 from tests.llm.test_quality import measures
-from tests.llm.test_suffix import brute as repeats
+from tests.llm.test_suffix import brute_passages
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -36,10 +36,10 @@ def test_stages_against_brute_force(spark, odd_docs):
     assert set(alone) <= set(after)
 
     cut = STAGES["suffix_dedup"](spark, single, "").cache()
-    want = {i: n - gone for i, n, gone, _, _ in repeats([(r.doc_id, r.text) for r in alone], 400)}
+    want = {i: text for i, _, _, text in brute_passages([(r.doc_id, r.text) for r in alone], 200, 50)}
     assert cut.columns == names and cut.count() == len(alone)
     for r in cut.collect():
-        assert want[r.doc_id] - 3 <= len(r.text.encode()) <= want[r.doc_id] and r.n_chars == len(r.text)
+        assert r.text == want[r.doc_id] and r.n_chars == len(r.text)
 
     mix = STAGES["mixing"](spark, cut, "").cache()
     n = lambda r: measures(r.text)[0]
