@@ -31,7 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes and more that occur elsewhere are cut."""
+    """Passages of more than 50 words that occur elsewhere are cut."""
     return without_repeats(docs)
 
 
