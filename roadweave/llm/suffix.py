@@ -43,6 +43,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from hashlib import blake2b, sha256
 
@@ -145,41 +146,49 @@ def common_prefix(a: bytes, b: bytes, start: int = 0) -> int:
 Entry = tuple[bytes, bytes, list[int], list[int]]  # hash and suffix, left side, texts, positions
 
 
-def encode_run(entries: list[Entry]) -> bytes:
-    """Sorted entries, each stored from where it differs from the one before."""
-    shared, rests, before = [], [], b""
-    for e in entries:
-        n = common_prefix(before, e[0])
-        shared.append(n)
-        rests.append(e[0][n:])
-        before = e[0]
-    lefts = [e[1] for e in entries]
-    u4 = lambda x: np.fromiter(x, np.uint32, len(entries)).tobytes()
-    body = b"".join(
-        (
-            struct.pack("<I", len(entries)), u4(shared), u4(map(len, rests)), u4(map(len, lefts)), u4(len(e[2]) for e in entries),
-            np.array([k for e in entries for k in e[2]], np.int64).tobytes(), np.array([p for e in entries for p in e[3]], np.int64).tobytes(),
-            *rests, *lefts,
+def encode_run(entries: list[Entry], block: int = 1000) -> bytes:
+    """Sorted entries, each stored from where it differs from the one before, in blocks that are read one at a time."""
+    out, before = [], b""
+    u4 = lambda x: np.fromiter(x, np.uint32).tobytes()
+    for i in range(0, len(entries), block):
+        part = entries[i : i + block]
+        shared, rests = [], []
+        for e in part:
+            n = common_prefix(before, e[0])
+            shared.append(n)
+            rests.append(e[0][n:])
+            before = e[0]
+        lefts = [e[1] for e in part]
+        body = b"".join(
+            (
+                u4(shared), u4(map(len, rests)), u4(map(len, lefts)), u4(len(e[2]) for e in part),
+                np.array([k for e in part for k in e[2]], np.int64).tobytes(), np.array([p for e in part for p in e[3]], np.int64).tobytes(),
+                *rests, *lefts,
+            )
         )
-    )
-    return zstandard.ZstdCompressor(level=3).compress(body)
+        packed = zstandard.ZstdCompressor(level=3).compress(body)
+        out += [struct.pack("<II", len(part), len(packed)), packed]
+    return b"".join(out)
 
 
 def decode_run(run: bytes) -> Iterator[tuple[int, Entry]]:
     """(bytes shared with the entry before, entry), in order."""
-    body = zstandard.ZstdDecompressor().decompress(run)
-    (n,) = struct.unpack_from("<I", body)
-    shared, rest_n, left_n, places = (np.frombuffer(body, np.uint32, n, 4 + 4 * n * i) for i in range(4))
-    total, at = int(places.sum()), 4 + 16 * n
-    keys = np.frombuffer(body, np.int64, total, at).tolist()
-    pos = np.frombuffer(body, np.int64, total, at + 8 * total).tolist()
-    at += 16 * total
-    lat, o, before = at + int(rest_n.sum()), 0, b""
-    for s, r, l, m in zip(shared.tolist(), rest_n.tolist(), left_n.tolist(), places.tolist()):
-        if r or s < len(before):  # an equal string is kept once
-            before = before[:s] + body[at : at + r]
-        yield s, (before, body[lat : lat + l], keys[o : o + m], pos[o : o + m])
-        at, lat, o = at + r, lat + l, o + m
+    here, before, run = 0, b"", memoryview(run)
+    while here < len(run):
+        n, size = struct.unpack_from("<II", run, here)
+        body = zstandard.ZstdDecompressor().decompress(run[here + 8 : here + 8 + size])
+        here += 8 + size
+        shared, rest_n, left_n, places = (np.frombuffer(body, np.uint32, n, 4 * n * i) for i in range(4))
+        total, at = int(places.sum()), 16 * n
+        keys = np.frombuffer(body, np.int64, total, at).tolist()
+        pos = np.frombuffer(body, np.int64, total, at + 8 * total).tolist()
+        at += 16 * total
+        lat, o = at + int(rest_n.sum()), 0
+        for s, r, l, m in zip(shared.tolist(), rest_n.tolist(), left_n.tolist(), places.tolist()):
+            if r or s < len(before):  # an equal string is kept once
+                before = before[:s] + body[at : at + r]
+            yield s, (before, body[lat : lat + l], keys[o : o + m], pos[o : o + m])
+            at, lat, o = at + r, lat + l, o + m
 
 
 def merge_runs(runs: list[Iterator[tuple[int, Entry]]]) -> Iterator[tuple[int, Entry]]:
@@ -239,32 +248,47 @@ def merge_runs(runs: list[Iterator[tuple[int, Entry]]]) -> Iterator[tuple[int, E
             node //= 2
 
 
-Place = tuple[int, bytes, list[int], list[int]]  # bytes to the right, left side, texts, positions
-
-
-def covered(shared: np.ndarray, entries: list[Place], gram: int, lengths: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+def covered(
+    shared: np.ndarray, right_len: np.ndarray, lefts: list[bytes], many: np.ndarray, gram: int, lengths: tuple[int, ...]
+) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each length: (smallest, largest) offset d for which the window that starts d bytes left of the anchor is elsewhere too; 1, 0 if none.
 
-    ``shared``: what each entry's right side has in common with the one before;
-    the right sides themselves are no longer needed.
+    Entries are in order of their right sides.  ``shared``: what each right side
+    has in common with the one before; ``many``: whether an entry has several
+    places.  An entry alone with one other is decided at once; of the others
+    only those are looked at for an offset that share enough on either side
+    with some neighbour.
     """
-    n = len(entries)
-    left_len = np.array([len(e[1]) for e in entries])
-    right_len = np.array([e[0] for e in entries])
+    n = len(lefts)
+    left_len = np.fromiter(map(len, lefts), np.int64, n)
     group = np.cumsum(shared < gram)
-    rev = [e[1][::-1] for e in entries]
-    order = np.array(sorted(range(n), key=lambda i: (group[i], rev[i])), np.int64)
-    both = np.zeros(n, np.int64)
-    for a in range(1, n):
-        i, j = order[a - 1], order[a]
-        both[a] = common_prefix(rev[i], rev[j]) if group[i] == group[j] else -1
-    many = np.array([len(e[2]) > 1 for e in entries])
+    rev = [x[::-1] for x in lefts]
+    keys = list(zip(group.tolist(), rev))
+    order = np.array(sorted(range(n), key=keys.__getitem__), np.int64)
+    both = np.full(n, -1, np.int64)
+    for a, (i, j) in enumerate(zip(order[:-1].tolist(), order[1:].tolist()), 1):
+        if keys[i][0] == keys[j][0]:
+            both[a] = common_prefix(rev[i], rev[j])
+    # what an entry has in common with the nearest of its neighbours, to the right and to the left of the anchor
+    inside = np.where(shared < gram, -1, shared)
+    near_right = np.maximum(inside, np.append(inside[1:], -1))
+    near_left = np.empty(n, np.int64)
+    near_left[order] = np.maximum(both, np.append(both[1:], -1))
+    near_right, near_left = np.where(many, right_len, near_right), np.where(many, left_len, near_left)
+    two = np.bincount(group)[group] == 2
+    two &= ~many & ~np.isin(group, group[many])
     found = []
     for length in lengths:
+        # a window needs length - d bytes to the right and d to the left
+        first = np.maximum(length - near_right, 0)
+        last = np.minimum(near_left, length - gram)
         lo, hi = np.ones(n, np.int64), np.zeros(n, np.int64)
-        first = np.maximum(length - right_len, 0)  # a window needs length - d bytes to the right
-        for d in range(length - gram + 1):
-            at = np.flatnonzero((left_len >= d) & (first <= d))
+        at_once = two & (first <= last)
+        lo[at_once], hi[at_once] = first[at_once], last[at_once]
+        rest = np.flatnonzero(~two & (first <= last))
+        first, last = first[rest], last[rest]
+        for d in range(int(first.min(initial=length)), int(last.max(initial=-1)) + 1):
+            at = rest[(first <= d) & (d <= last)]
             if not len(at):
                 continue
             r = np.cumsum(shared < length - d)
@@ -322,39 +346,51 @@ def _merged(gram: int, lengths: tuple[int, ...]):
     """(text, length of the windows, run of bytes) for each anchor that has repeated windows."""
     longest = max(lengths)
 
+    def decided(shared: list[int], rights: list[int], lefts: list[bytes], counts: list[int], keys: array, pos: array) -> pa.Table:
+        k, p = np.array(keys), np.array(pos)
+        entry = np.repeat(np.arange(len(counts)), counts)
+        # a text whose row is repeated names a place twice
+        o = np.lexsort((p, k, entry))
+        entry, k, p = entry[o], k[o], p[o]
+        new = np.ones(len(k), bool)
+        new[1:] = (entry[1:] != entry[:-1]) | (k[1:] != k[:-1]) | (p[1:] != p[:-1])
+        entry, k, p = entry[new], k[new], p[new]
+        many = np.bincount(entry, minlength=len(counts)) > 1
+        parts = []
+        for length, (lo, hi) in zip(lengths, covered(np.array(shared), np.array(rights), lefts, many, gram, lengths)):
+            at = np.flatnonzero((lo <= hi)[entry])
+            e = entry[at]
+            parts.append(
+                pa.table({"k": pa.array(k[at]), "of": pa.array(np.full(len(at), length, np.int32)), "lo": pa.array(p[at] - hi[e]), "hi": pa.array(p[at] - lo[e] + length)})
+            )
+        return pa.concat_tables(parts)
+
     def run(table: pa.Table) -> pa.Table:
-        out_k, out_of, out_lo, out_hi = [], [], [], []
-
-        def finish(shared: list[int], entries: list[Place]) -> None:
-            for e in entries:  # a text whose row is repeated names a place twice
-                if len(e[2]) > 1:
-                    places = sorted(set(zip(e[2], e[3])))
-                    e[2][:], e[3][:] = [p[0] for p in places], [p[1] for p in places]
-            for length, (lo, hi) in zip(lengths, covered(np.array(shared), entries, gram, lengths)):
-                for i in np.flatnonzero(lo <= hi):
-                    e = entries[i]
-                    out_k.extend(e[2])
-                    out_of.extend([length] * len(e[2]))
-                    out_lo.extend(p - int(hi[i]) for p in e[3])
-                    out_hi.extend(p - int(lo[i]) + length for p in e[3])
-
-        shared: list[int] = []
-        entries: list[Place] = []
-        runs = [decode_run(r.as_py()) for r in table.column("run")]
-        for n, e in merge_runs(runs):
+        def fresh():
+            return [], [], [], [], array("q"), array("q")
+
+        out, held = [], fresh()
+        shared, rights, lefts, counts, keys, pos = held
+        for n, e in merge_runs([decode_run(r.as_buffer()) for r in table.column("run")]):
             n, right = max(n - 8, 0), len(e[0]) - 8
-            if entries and n == longest and right == entries[-1][0] and e[1] == entries[-1][1]:
-                entries[-1][2].extend(e[2])
-                entries[-1][3].extend(e[3])
+            keys.extend(e[2])
+            pos.extend(e[3])
+            if lefts and n == longest and right == rights[-1] and e[1] == lefts[-1]:
+                counts[-1] += len(e[2])
                 continue
-            if n < gram and len(entries) >= 5_000:
-                finish(shared, entries)
-                shared, entries = [], []
-            shared.append(n if entries else 0)
-            entries.append((right, *e[1:]))
-        if entries:
-            finish(shared, entries)
-        return pa.table({"k": pa.array(out_k, pa.int64()), "of": pa.array(out_of, pa.int32()), "lo": pa.array(out_lo, pa.int64()), "hi": pa.array(out_hi, pa.int64())})
+            if n < gram and len(lefts) >= 5_000:
+                more = keys[len(keys) - len(e[2]) :], pos[len(pos) - len(e[3]) :]
+                del keys[len(keys) - len(e[2]) :], pos[len(pos) - len(e[3]) :]
+                out.append(decided(*held))
+                shared, rights, lefts, counts, keys, pos = held = fresh()
+                keys.extend(more[0])
+                pos.extend(more[1])
+            shared.append(n if lefts else 0)
+            rights.append(right)
+            lefts.append(e[1])
+            counts.append(len(e[2]))
+        out.append(decided(*held))
+        return pa.concat_tables(out)
 
     return run
 
@@ -377,15 +413,14 @@ def _window_digests(gram: int, lengths: tuple[int, ...]):
     return run
 
 
-def joined_runs(los: list[int], his: list[int]) -> list[list[int]]:
+def joined_runs(lo: np.ndarray, hi: np.ndarray) -> list[list[int]]:
     """Maximal runs [lo, hi) of bytes that the spans cover."""
-    runs: list[list[int]] = []
-    for lo, hi in sorted(zip(los, his)):
-        if runs and lo <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], hi)
-        else:
-            runs.append([lo, hi])
-    return runs
+    if not len(lo):
+        return []
+    o = np.argsort(lo, kind="stable")
+    lo, end = lo[o], np.maximum.accumulate(hi[o])
+    first = np.append(True, lo[1:] > end[:-1])
+    return np.stack([lo[first], end[np.append(np.flatnonzero(first)[1:] - 1, len(lo) - 1)]], axis=1).tolist()
 
 
 def whole_words(raw: bytes, lo: int, hi: int) -> int:
@@ -406,11 +441,14 @@ def _without(length: int, passage_bytes: int | None, passage_words: int, cut: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for text, k, spans in zip(b.column("text"), b.column("k").to_pylist(), b.column("spans").to_pylist()):
+            spans = b.column("spans")
+            ends, flat = spans.offsets.to_numpy(), spans.values
+            of, start, stop = (flat.field(c).to_numpy() for c in ("of", "lo", "hi"))
+            for text, k, i, j in zip(b.column("text"), b.column("k").to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
                 raw = text.as_py().encode()
-                by = {of: joined_runs(*zip(*((s["lo"], s["hi"]) for s in spans if s["of"] == of))) for of in {s["of"] for s in spans}}
-                removed = by.get(length, [])
-                found = passages(raw, by.get(passage_bytes, []), passage_words)
+                by = {x: joined_runs(start[i:j][of[i:j] == x], stop[i:j][of[i:j] == x]) for x in (length, passage_bytes)}
+                removed = by[length]
+                found = passages(raw, by[passage_bytes], passage_words)
                 keep, at = [], 0
                 for lo, hi in found if cut == "passages" else removed:
                     keep.append(raw[at:lo])
@@ -494,7 +532,7 @@ def remove_repeats(
     partly = texts.filter("copies = 1").select("k", "text").dropDuplicates(["k"]).join(spans, "k")
     rests = materialize(
         partly.select("k", "text", "spans").mapInArrow(
-            _without(length or 0, passage_bytes, passage_words, cut),
+            _without(length, passage_bytes, passage_words, cut),
             "k long, n_removed long, n_spans long, n_passage_bytes long, n_passages long, kept_sha256 string, kept_text string",
         ),
         "rests",
