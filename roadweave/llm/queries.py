@@ -72,7 +72,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "weight")
 
 
 def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,4 +102,5 @@ ORACLES: dict[str, str] = {
     "op2_quality_rules": sql.OP2,
     "op4_warc_zstd": sql.OP4,
     "op6_suffix_dedup": sql.OP6,
+    "op8_pareto_mixing": sql.OP8,
 }

@@ -71,7 +71,9 @@ kept AS (SELECT doc_id, string_agg(v, '' ORDER BY behind) AS v FROM piece GROUP
 sums AS (SELECT doc_id, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans FROM p GROUP BY 1),
 step AS (
   SELECT doc_id, i, octet_length(encode(x)) AS n, octet_length(encode(ltrim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) AS m
-  FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(t, '[ 	-]*[^ 	-]+') AS l FROM d))
+  FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(t, '[ 	-
+]*[^ 	-
+]+') AS l FROM d))
 ),
 word AS (SELECT doc_id, m, sum(n) OVER (PARTITION BY doc_id ORDER BY i) + 1 AS behind FROM step),
 found AS (SELECT q.doc_id, q.lo, q.hi FROM q JOIN word ON word.doc_id = q.doc_id AND word.behind - word.m >= q.lo AND word.behind <= q.hi GROUP BY 1, 2, 3 HAVING count(*) > 50),
@@ -81,3 +83,66 @@ SELECT d.doc_id, octet_length(d.b) AS n_bytes, coalesce(n_removed, 0) AS n_remov
   coalesce(n_passage_bytes, 0) AS n_passage_bytes, coalesce(n_passages, 0) AS n_passages
 FROM d LEFT JOIN sums ON sums.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN passages ON passages.doc_id = d.doc_id
 """
+
+
+def _fills(n: int) -> str:
+    """The documents that close the gap of each source, one after the other, and all of them as ``f``."""
+    same = "k.doc_id IS NOT DISTINCT FROM {0}.doc_id AND k.of_text = {0}.of_text AND k.nth = {0}.nth"
+    out = ["g0 AS (SELECT source, gap, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS VARCHAR) AS of_text, CAST(NULL AS BIGINT) AS nth FROM g)"]
+    for i in range(1, n + 1):
+        fits = "k.size <= g.gap" if i < n else "true"
+        taken = " ".join(f"AND NOT EXISTS (FROM g{j} WHERE g{j}.source IS NOT DISTINCT FROM k.source AND {same.format(f'g{j}')})" for j in range(1, i))
+        out.append(f"""b{i} AS (
+  SELECT k.source, g.gap - k.size AS gap, k.doc_id, k.of_text, k.nth FROM k JOIN g{i - 1} g ON g.source IS NOT DISTINCT FROM k.source
+  WHERE open AND NOT extra AND {fits} AND abs(g.gap - k.size) < g.gap {taken}
+  QUALIFY row_number() OVER (PARTITION BY k.source ORDER BY abs(g.gap - k.size), odds, k.doc_id NULLS FIRST, k.of_text, k.nth) = 1
+),
+g{i} AS (SELECT g.source, coalesce(b.gap, g.gap) AS gap, b.doc_id, b.of_text, b.nth FROM g{i - 1} g LEFT JOIN b{i} b ON b.source IS NOT DISTINCT FROM g.source)""")
+    every = " UNION ALL ".join(f"SELECT source, doc_id, of_text, nth FROM g{i} WHERE nth IS NOT NULL" for i in range(1, n + 1))
+    return ",\n".join([*out, f"f AS ({every}),"])
+
+
+OP8 = f"""
+WITH z AS (SELECT doc_id, source, CAST(len({WORDS.format(t="coalesce(text, '')")}) AS BIGINT) AS size, md5(coalesce(text, '')) AS of_text FROM documents),
+d AS (SELECT *, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END AS weight, row_number() OVER (PARTITION BY doc_id, source, of_text) AS nth FROM z),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
+w AS (SELECT *, list_extract([5.0::DOUBLE, 2.0, 1.0], (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1) AS w FROM s),
+r AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 2.0::DOUBLE * source_size / w AS ratio, 1.5::DOUBLE * sum(source_size) OVER () AS total, sum(w) OVER () AS all_w FROM w),
+b AS (
+  SELECT *, coalesce(sum(cap) OVER o, 0) AS caps, coalesce(sum(w) OVER o, 0) AS ws FROM r
+  WINDOW o AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+l AS (SELECT *, (total - caps) / (all_w - ws) AS level FROM b),
+t AS (SELECT source, source_size, coalesce(least(cap, w * (SELECT arg_min(level, ratio) FROM l WHERE level <= ratio)), cap) AS target FROM l),
+c AS (SELECT source, weight, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY 1, 2),
+v AS (
+  SELECT c.*, t.source_size, t.target,
+    (target - 2.0::DOUBLE * coalesce(sum(words) OVER (PARTITION BY c.source ORDER BY weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / nullif(CAST(sum(words * weight) OVER (PARTITION BY c.source ORDER BY weight ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE), 0) AS level
+  FROM c JOIN t ON t.source IS NOT DISTINCT FROM c.source
+),
+m AS (SELECT source, arg_max(level, weight) FILTER (level * weight <= 2.0) AS level FROM v GROUP BY 1),
+e AS (
+  SELECT v.* EXCLUDE (level), CASE WHEN words = 0 THEN 0.0::DOUBLE WHEN m.level IS NULL THEN 2.0 ELSE least(2.0, m.level * weight) END AS e
+  FROM v JOIN m ON m.source IS NOT DISTINCT FROM v.source
+),
+q AS (SELECT *, CAST(floor(e + 1e-9) AS BIGINT) AS whole, e - floor(e + 1e-9) AS part FROM e),
+plan AS (SELECT *, CASE WHEN part > 1e-9 THEN part END AS p, target - sum(whole * words) OVER (PARTITION BY source) AS rest FROM q),
+x AS (
+  SELECT d.*, plan.source_size, plan.target, plan.whole, plan.p, plan.rest,
+    (CAST('0x' || substr(md5(concat_ws('|', '17', coalesce(CAST(doc_id AS VARCHAR), '~'), coalesce(d.source, '~'), of_text, CAST(nth AS VARCHAR))), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM d JOIN plan ON plan.source IS NOT DISTINCT FROM d.source AND plan.weight = d.weight
+),
+y AS (SELECT *, (u / (1 - u)) / (p / (1 - p)) AS odds, p IS NOT NULL AND size > 0 AS open FROM x),
+k AS (
+  SELECT *, open AND sum(CASE WHEN open THEN size END) OVER (PARTITION BY source ORDER BY odds NULLS LAST, doc_id NULLS FIRST, of_text, nth ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= rest AS extra
+  FROM y
+),
+g AS (SELECT source, any_value(rest) - coalesce(sum(size) FILTER (extra), 0) AS gap FROM k GROUP BY 1),
+{_fills(8)}
+n AS (
+  SELECT k.*, whole + CAST(extra OR f.nth IS NOT NULL AS BIGINT) AS copies
+  FROM k LEFT JOIN f ON f.source IS NOT DISTINCT FROM k.source AND f.doc_id IS NOT DISTINCT FROM k.doc_id AND f.of_text = k.of_text AND f.nth = k.nth
+)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies, weight FROM n
+"""
