@@ -15,7 +15,12 @@ confirmed on the full shingle sets.  No pairs within a group are listed:
    the triangle inequality of the Jaccard distance does not exclude.
 4. A larger cluster is dealt out: all its members are compared with one pivot,
    in parallel; those that can no longer decide anything leave, the rest are
-   banded and clustered again.
+   banded and clustered again.  What is still too large after ``pivot_rounds``
+   is dealt into blocks of half a task each, and every two blocks of a cluster
+   meet in one task that emits links only; this is exact whatever is left.
+
+Aggregates by band, text or cluster are written before they are joined, so AQE
+can split whatever a third of all documents shares.
 
 With 32 bands of 4 a pair at exactly 0.75 is missed with probability 5e-6, one
 at 0.8 with 5e-8.
@@ -189,7 +194,8 @@ def star_edges(classes: DataFrame) -> DataFrame:
     """(u, v): each class and the smallest class of every band that it shares; at most one row per class and band."""
     rows = classes.select("set_key", F.explode("bands").alias("band"))
     centres = rows.groupBy("band").agg(F.min("set_key").alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return rows.join(centres, "band").filter("set_key <> v").select(F.col("set_key").alias("u"), "v").distinct()
+    centres = materialize(centres.select(F.col("band").alias("of"), "v"), "centres")
+    return rows.join(centres, F.col("band") == F.col("of")).filter("set_key <> v").select(F.col("set_key").alias("u"), "v").distinct()
 
 
 def near_duplicates(
@@ -199,6 +205,7 @@ def near_duplicates(
     shingle_words: int = 5,
     percent: int = 75,
     cluster_bytes: int = 64 << 20,
+    pivot_rounds: int = 8,
 ) -> DataFrame:
     """(doc_id, n_shingles, set_key, component_id, kept), one row per input row."""
     short_batches(docs.sparkSession)
@@ -218,7 +225,7 @@ def near_duplicates(
         members = materialize(
             found.select(F.col("node").alias("set_key"), F.col("component").alias("cluster")).join(active.select("set_key", "rep", "n"), "set_key"), "clusters"
         )
-        sizes = members.groupBy("cluster").agg((8 * F.sum("n")).alias("bytes"))
+        sizes = materialize(members.groupBy("cluster").agg((8 * F.sum("n")).alias("bytes")), "sizes")
         big = sizes.filter(F.col("bytes") > cluster_bytes).select("cluster")
         members = members.join(sizes, "cluster")
         # always a merge join: what is asked for grows with the corpus, so one plan holds for every size
@@ -227,6 +234,7 @@ def near_duplicates(
         any_big = big.limit(1).count() > 0
         if any_big:
             sets = materialize(sets, "sets")
+            big = materialize(big, "large")
             small = sets.join(big, "cluster", "left_anti")
         else:
             small = sets
@@ -235,17 +243,21 @@ def near_duplicates(
         rounds += 1
         if not any_big:
             break
+        if rounds > pivot_rounds:
+            links = links.union(_block_links(sets.join(big, "cluster", "left_semi"), sizes, cluster_bytes, percent))
+            break
         active, pivot_links = _pivot_round(sets.join(big, "cluster", "left_semi"), active, percent)
         links = links.union(pivot_links)
-    if rounds > 1:
+    if any_big or rounds > 1:
         whole = connected_components(links)
         resolved = whole.select(F.col("node").alias("set_key"), F.col("component").alias("root"))
     else:
         resolved = links.select(F.col("u").alias("set_key"), F.col("v").alias("root"))
     near = resolved.join(classes.select("set_key", "rep"), "set_key")
-    lowest = near.groupBy("root").agg(F.min("rep").alias("low"))
+    lowest = materialize(near.groupBy("root").agg(F.min("rep").alias("low")), "lowest")
     near = near.join(lowest, "root").select("set_key", "low")
     of_class = classes.select("set_key", "rep").join(near, "set_key", "left").select(F.col("set_key").alias("key"), F.least("rep", "low").alias("of_set"))
+    of_class = materialize(of_class, "components")
     out = signed.drop("bands").join(of_class, F.col("set_key") == F.col("key"), "left").drop("key")
     out = out.withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("of_set"))).drop("of_set")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -271,10 +283,20 @@ def _pivot_round(sets: DataFrame, active: DataFrame, percent: int) -> tuple[Data
     return left, tested.filter("hit").select(F.col("set_key").alias("u"), F.col("pivot").alias("v"))
 
 
+def _block_links(sets: DataFrame, sizes: DataFrame, cluster_bytes: int, percent: int) -> DataFrame:
+    """Links within clusters of any size: each block of sets meets each other block of its cluster in a task of its own."""
+    blocks = (1 + F.floor(2 * F.col("bytes") / cluster_bytes)).cast("int")
+    dealt = sets.join(sizes, "cluster").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
+    meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    pairs = dealt.select("cluster", "set_key", "shingles", "block", meets)
+    pairs = pairs.select("cluster", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "set_key", "shingles")
+    return materialize(pairs.groupBy("cluster", "a", "b").applyInArrow(_resolve(percent), "u binary, v binary"), "links")
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """One row of ``docs`` for each component, with all its columns: that of the smallest id; of equal rows one."""
-    keep = near_duplicates(docs, id_col, text_col, **more).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__id"))).drop("__id")
-    same = Window.partitionBy(id_col, "__of_text").orderBy(F.lit(0))
-    rows = rows.withColumn("__of_text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    return rows.withColumn("__nth", F.row_number().over(same)).filter("__nth = 1").drop("__nth", "__of_text")
+    """One row of ``docs`` for each component, with all its columns, whatever their names: that of the smallest id; of equal rows one."""
+    keep = near_duplicates(docs, id_col, text_col, **more).filter("kept").select(F.col("doc_id").alias("of")).distinct()
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("of_text"))
+    same = Window.partitionBy("id", "of_text").orderBy(F.lit(0))
+    rows = keyed.join(keep, F.col("id").eqNullSafe(F.col("of"))).withColumn("nth", F.row_number().over(same)).filter("nth = 1")
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ._store import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE = 20_000
+SLICE = 5_000
 
 
 def source_targets(

@@ -138,7 +138,8 @@ def quality_rules(
 
     The measures are written once (a few numbers a document) because both the
     sums by host and the join back need them; texts are read once and never
-    shuffled.  The join back is on the host and leaves skew to AQE.
+    shuffled.  The hosts are written before they are joined back: a small table
+    of them is broadcast, and with a large one AQE can split a common host.
     """
     measured = base_measures(docs, id_col, text_col, host_col).withColumn(
         "base_failed",
@@ -146,8 +147,8 @@ def quality_rules(
         | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")),
     )
     measured = materialize(measured, "quality")
-    hosts = host_verdicts(measured, max_host_failure).select(
-        F.col("host").alias("of"), "shrunk_rate", "host_rejected"
+    hosts = materialize(
+        host_verdicts(measured, max_host_failure).select(F.col("host").alias("of"), "shrunk_rate", "host_rejected"), "hosts"
     )
     return (
         measured.join(hosts, F.col("host").eqNullSafe(F.col("of")))
@@ -157,13 +158,10 @@ def quality_rules(
 
 
 def keep_by_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **rules) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns.
+    """The rows of ``docs`` that the rules keep, with all their columns, whatever their names.
 
-    Rows are told apart by id, host and a hash of the text; equal rows have equal verdicts.
+    Rows are written once with their measures; behind that only the small table of hosts is joined to them.
     """
-    keyed = docs.withColumn("__of_text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    slim = docs.select(F.col(id_col).alias("i"), F.col(host_col).alias("s"), F.col(text_col).alias("t"))
-    slim = slim.withColumn("row", F.struct("i", "s", F.xxhash64(F.coalesce("t", F.lit(""))).alias("h")))
-    kept = quality_rules(slim, "row", "t", "s", **rules).filter("kept").select("doc_id.*").distinct()
-    on = keyed[id_col].eqNullSafe(kept["i"]) & keyed[host_col].eqNullSafe(kept["s"]) & (keyed["__of_text"] == kept["h"])
-    return keyed.join(kept, on, "left_semi").drop("__of_text")
+    slim = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("t"), F.col(host_col).alias("s"))
+    kept = quality_rules(slim, "row", "t", "s", **rules).filter("kept").select("doc_id")
+    return kept.select(*[F.col("doc_id")[c].alias(c) for c in docs.columns])

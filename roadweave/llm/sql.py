@@ -36,8 +36,8 @@ f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS x FROM f GROUP BY 1),
 m AS (SELECT avg(x / n) AS m, var_pop(x / n) AS v FROM h),
 q AS (SELECT m, least(1000.0, greatest(1.0, coalesce(m * (1 - m) / nullif(v, 0) - 1, 1000.0))) AS s FROM m),
-r AS (SELECT h.source, (x + m * s) / (n + s) > 0.5 AS rejected FROM h, q)
-SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
+r AS (SELECT h.source, (x + m * s) / (n + s) AS shrunk_rate FROM h, q)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r.shrunk_rate <= 0.5 AS kept, round(shrunk_rate, 9) AS shrunk_rate, r.shrunk_rate > 0.5 AS host_rejected
 FROM f JOIN r ON r.source IS NOT DISTINCT FROM f.source
 """
 

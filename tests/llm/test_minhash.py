@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from roadweave.llm.minhash import near_duplicates, resolve_cluster
+from roadweave.llm.minhash import keep_one_of_each, near_duplicates, resolve_cluster
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -70,7 +70,9 @@ def chain(n=120, seed=3):
 def test_large_clusters_are_dealt_out(spark):
     rows = chain()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert as_dict(near_duplicates(docs, cluster_bytes=6000)) == brute(rows)
+    want = brute(rows)
+    assert as_dict(near_duplicates(docs, cluster_bytes=6000)) == want
+    assert as_dict(near_duplicates(docs, cluster_bytes=6000, pivot_rounds=0)) == want
 
 
 def test_resolve_is_exact():
@@ -99,5 +101,14 @@ def test_odd_rows(spark, odd_docs):
     assert all(not k for _, _, k in by[None])
 
 
+def test_one_of_each_with_clashing_columns(spark, odd_docs):
+    names = ["doc_id", "text", "__id", "__nth", "__of_text", "row", "id", "of", "nth", "of_text", "kept", "cluster"]
+    rows = [(r.doc_id, r.text, *(["x"] * 10)) for r in odd_docs.collect()]
+    docs = spark.createDataFrame(rows, ", ".join(f"{c} {'long' if c == 'doc_id' else 'string'}" for c in names))
+    out = keep_one_of_each(docs)
+    assert out.columns == names
+    assert sorted(r.doc_id for r in out.collect()) == [0, 2, 3, 4, 5, 7, 8, 9, 10]
+
+
 def test_empty_table(spark, odd_docs):
     assert near_duplicates(odd_docs.limit(0)).count() == 0
