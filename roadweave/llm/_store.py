@@ -38,6 +38,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and host of the file system that Spark itself reads it from."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def release(spark: SparkSession) -> int:
     """Delete the intermediate tables and archives of this session; results that still read them fail afterwards."""
     gone = 0

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import short_batches
+from ._store import materialize, short_batches
 
 ORDERS, BITS = (1, 2, 3), (10, 12, 15)
 WIDTHS = tuple(1 << b for b in BITS)
@@ -151,7 +151,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in _batches(texts):
             bits, has = presence(texts[i:j])
             cols = [pa.array([np.packbits(r).tobytes() for r in x], pa.binary()) for x in bits]
-            yield pa.RecordBatch.from_arrays([b.column("lang").slice(i, j - i), pa.array(has), *cols], ["lang", "has", "p1", "p2", "p3"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in ("doc_id", "lang")), pa.array(has), *cols], ["doc_id", "lang", "has", "p1", "p2", "p3"])
 
 
 def _predicted(model: Model | None):
@@ -179,24 +179,26 @@ def held_out(id_col: str = "doc_id"):
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, landmarks: int = 256) -> Model | None:
     """Fit on at most ``per_language`` documents of each language that are not held out.
 
-    The sample is drawn on ids alone.  Counts by language give a bound on the
-    hash that leaves some 4 * ``per_language`` candidates, so the ranking behind
-    it has as few rows for a language with a third of all documents as for any
-    other.  Of the sample only the presence bits, 5 KB each, reach the
-    driver.
+    The sample is drawn on ids alone.  Counts by language, a written table of as
+    many rows as there are languages, give a bound on the hash that leaves some
+    4 * ``per_language`` candidates before anything is shuffled, so the ranking
+    behind it has as few rows for a language with a third of all documents as for
+    any other.  Of the sample only the presence bits, 5 KB for each id and
+    language, reach the driver; of rows that repeat an id one counts, as their number is that of ids.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     usable = rows.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out("doc_id") & (F.length("text") > 0))
     order = F.xxhash64(F.lit(7), "doc_id")
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")), "languages")
     # order is uniform in [-2**63, 2**63)
     share = (order.cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
     few = usable.select("doc_id", "lang", order.alias("order"), share.alias("share")).join(counts, "lang").filter(F.col("share") * F.col("n") < 4 * per_language)
     first = Window.partitionBy("lang").orderBy("order", "doc_id")
     chosen = few.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_language).select("doc_id", "lang").distinct()
     # at most ``per_language`` ids for each language: sent to all tasks, so that the texts need no shuffle
-    sample = usable.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("text", "lang")
-    got = sample.mapInArrow(_packed, "lang string, has boolean, p1 binary, p2 binary, p3 binary").filter("has").toArrow()
+    sample = usable.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang")
+    packed = sample.mapInArrow(_packed, "doc_id string, lang string, has boolean, p1 binary, p2 binary, p3 binary").filter("has")
+    got = packed.groupBy("doc_id", "lang").agg(F.min(F.struct("p1", "p2", "p3")).alias("p")).select("lang", "p.*").toArrow()
     found = sorted(zip(got["lang"].to_pylist(), *(got[c].to_pylist() for c in ("p1", "p2", "p3"))))
     return fit([list(r[1:]) for r in found], [r[0] for r in found], landmarks)
 

@@ -100,7 +100,7 @@ def _pieces(path: str, capacity: int, with_ids: bool):
 
             def batch() -> pa.RecordBatch:
                 cols = list(zip(*rows)) if rows else [[]] * 6
-                arrays = [pa.array(c, pa.int64()) for c in cols]
+                arrays = [pa.array(c, pa.int32() if n == 1 else pa.int64()) for n, c in enumerate(cols)]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "rank"]
                 if with_ids:
                     arrays.append(pa.array(tokens, pa.binary()))
@@ -258,7 +258,7 @@ def pack_documents(
     ids, stored = (", ids array<int>", ", ids binary") if with_ids else ("", "")
     pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         _pieces(tokenizer_path, capacity, with_ids),
-        f"doc_id long, piece long, start long, length long, ids_crc32 long, rank long{stored}, task int",
+        f"doc_id long, piece int, start long, length long, ids_crc32 long, rank long{stored}, task int",
     )
     pieces = materialize(pieces, "pieces")
     by_task = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
@@ -270,5 +270,5 @@ def pack_documents(
     ranked = pieces.join(by_task.drop("n"), ["length", "task"]).withColumn("place", F.col("before") + F.col("rank"))
     cols = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
     return ranked.select(*cols, "place").mapInArrow(
-        _placed(plan), f"doc_id long, piece long, start long, length long, ids_crc32 long{ids}, sequence_id long, offset long"
+        _placed(plan), f"doc_id long, piece int, start long, length long, ids_crc32 long{ids}, sequence_id long, offset long"
     )

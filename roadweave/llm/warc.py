@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import fresh_path, materialize, short_batches
+from ._store import fresh_path, materialize, qualified, short_batches
 
 DICTIONARY_FRAME, ZSTD_FRAME, ZSTD_DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
 # fixed values of the WARC 1.1 format
@@ -214,8 +214,14 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, digest: st
     return encode_record(h, block)
 
 
+def _folder(base: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """File system and path of a qualified folder; one that pyarrow has no driver for is an error here, before anything is written elsewhere."""
+    uri = re.sub(r"^file:/+", "file:///", base)
+    return pyarrow.fs.FileSystem.from_uri(re.sub(r"^s3a:", "s3:", uri))
+
+
 def _put(base: str, name: str, content: bytes) -> str:
-    fs, path = pyarrow.fs.FileSystem.from_uri(base if "://" in base or base.startswith("file:") else f"file://{base}")
+    fs, path = _folder(base)
     temporary = f"{path}/_{name}.{TaskContext.get().taskAttemptId()}.tmp"
     with fs.open_output_stream(temporary) as f:
         f.write(content)
@@ -265,8 +271,9 @@ def write_archives(
     """
     spark = pages.sparkSession
     short_batches(spark)
-    base = fresh_path(spark, "warc")
-    fs, path = pyarrow.fs.FileSystem.from_uri(base if "://" in base or base.startswith("file:") else f"file://{base}")
+    # a folder without a scheme is on the cluster's default file system, not on an executor's disk
+    base = qualified(spark, fresh_path(spark, "warc"))
+    fs, path = _folder(base)
     fs.create_dir(path, recursive=True)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("n", F.octet_length("html"))
@@ -274,7 +281,7 @@ def write_archives(
         rows.filter(F.col("n") >= revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("copies"))
         .filter("copies > 1 and top is not null").select(F.col("digest").alias("of"), "top")
     )
-    rows = rows.join(tops, F.col("digest") == F.col("of"), "left")
+    rows = rows.join(materialize(tops, "tops"), F.col("digest") == F.col("of"), "left")
     rows = rows.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("top")), F.col("top")))
     manifest = rows.select("page_id", "url", "html", "refers_to").sortWithinPartitions("page_id", "url", "html").mapInArrow(
         _written(base, archive_bytes, date), "path string, records long, bytes long"

@@ -14,10 +14,12 @@ lower is more like the target.
 
 Bigram counts grow with the corpus and are never gathered in one place: documents
 are dealt into chunks by a hash of their id (about ``chunk_bytes`` of text each);
-each chunk counts its distinct bigrams, counts are summed over chunks by a window
-on the bigram (at most one row a chunk in each group, so none is hot), and every
-chunk gets back just the counts of the bigrams that it has; unigrams and the
-total go the same way.  Texts are shuffled once; both uses read the same exchange.
+each chunk counts its distinct bigrams and writes them, counts are summed over
+chunks with map-side sums, and every chunk gets back just the counts of the bigrams
+that it has; unigrams and the total go the same way.  A frequent key has a row in
+every chunk, so sums and counts are joined as written tables and AQE can split it.
+"Matched" models have the same form, smoothing, mixture and vocabulary; the
+background is not cut to the target's size, as counts cover all documents.
 
 Cases: null and empty texts have no tokens and null losses; documents without a
 label are background only; a null id is never a target; repeated rows count each
@@ -31,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import short_batches
+from ._store import materialize, short_batches
 from .packing import tokenizer
 
 
@@ -146,15 +148,15 @@ def cross_entropy_difference(
     chunk = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk")
     # rows without an id are never targets and may go anywhere
     anywhere = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(chunks)).alias("chunk")
-    # both cogroups below put the same exchange on this, so it runs once
     dealt = rows.select(anywhere, "doc_id", "text")
     ids = targets.select(F.col(id_col).cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
     wanted = ids.select(chunk, "doc_id")
     counted = dealt.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(
         _counted(tokenizer_path, vocabulary), "chunk long, key long, n long, t long"
     )
-    same = Window.partitionBy("key")
-    table = counted.select("chunk", "key", F.sum("n").over(same).alias("n"), F.sum("t").over(same).alias("t"))
+    counted = materialize(counted, "counts")
+    sums = materialize(counted.groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).withColumnRenamed("key", "of"), "sums")
+    table = counted.select("chunk", "key").join(sums, F.col("key") == F.col("of")).select("chunk", "key", "n", "t")
     table = table.union(wanted.select("chunk", F.lit(TARGET).cast("long"), "doc_id", F.lit(0).cast("long")))
     return dealt.groupBy("chunk").cogroup(table.groupBy("chunk")).applyInArrow(
         _scored(tokenizer_path, vocabulary, alpha, mixture, leave_one_out),

@@ -65,3 +65,10 @@ def test_nothing_to_learn_from(spark, odd_docs):
 
     assert {r.lang_pred for r in identify_language(odd_docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert identify_language(odd_docs.limit(0)).count() == 0
+
+
+def test_rows_that_repeat_an_id_count_once(spark):
+    rows = [(i % 3, f"the cat {i} sat", "en") for i in range(60)] + [(100 + i, f"le chat {i} est la", "fr") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.lang_pred for r in identify_language(docs, per_language=5).collect()}
+    assert got == {"en", "fr"}

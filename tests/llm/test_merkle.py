@@ -1,10 +1,54 @@
-from hashlib import sha256
+import re
+from collections import Counter
+from hashlib import blake2b, sha256
 
+import numpy as np
 import pytest
 
+from roadweave.llm import _text as T
+
 from roadweave.llm.merkle import edits, fingerprint_neighbours, fingerprints, likeness, parse
 
 
+def selects(word, every):
+    """Whether a word ends a leaf: the one thing taken from the library is the hash of a word."""
+    buf = np.frombuffer(word, np.uint8)
+    (h,) = T.word_hashes(buf, np.array([0]), np.array([len(buf)]), lower=False).tolist()
+    return (h >> 32) % every == 0
+
+
+def tree(text):
+    """[[(paragraph node, [leaf, ...]), ...], ...] of a text, straight from the description."""
+    node = lambda kind, below: blake2b(b"".join(below), digest_size=16, person=kind).digest()
+    sections, section = [], []
+    for line in re.findall(rb"[^\n]*\n|[^\n]+$", text):
+        cuts = [m.end() for m in re.finditer(rb"[^\x20\x09-\x0D]+", line) if selects(m[0], 8)]
+        bounds = [0, *cuts, len(line)]
+        leaves = [blake2b(line[a:b], digest_size=16).digest() for a, b in zip(bounds, bounds[1:]) if a < b]
+        paragraph = node(b"paragraph", leaves)
+        section.append((paragraph, leaves))
+        if (line.endswith(b"\n") and not line.strip(b" \t\r\x0b\x0c\n")) or paragraph[0] % 4 == 0:
+            sections.append(section)
+            section = []
+    sections += [section] if section else []
+    tops = [node(b"section", [p for p, _ in s]) for s in sections]
+    return node(b"root", tops).hex(), [t[:8].hex() for t in tops], [[(p[:8].hex(), [x[:4].hex() for x in ls]) for p, ls in s] for s in sections]
+
+
+def test_tree_from_its_description(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("text is not null").collect()
+    texts = [r.text.encode() for r in docs] + [b"", b"\n", b"\n\n a\n\nb", b" ", b"x\n \t\ny z\n", "é\u2028ü\n".encode()]
+    trees = [tree(t) for t in texts]
+    for (print_, _), (root, tops, sections) in zip(fingerprints(texts), trees):
+        assert print_.split("|")[0] == root
+        assert [(s, ps) for s, ps in parse(print_)] == list(zip(tops, sections))
+    flat = [Counter(x for s in t[2] for _, ls in s for x in ls) for t in trees]
+    for a, b in zip(range(len(texts)), range(1, len(texts))):
+        n = flat[a].total() + flat[b].total()
+        want = 1.0 if trees[a][0] == trees[b][0] else 2 * (flat[a] & flat[b]).total() / n if n else 1.0
+        assert likeness(fingerprints([texts[a]])[0][0], fingerprints([texts[b]])[0][0]) == pytest.approx(want)
+
+
 def brute(rows):
     order = sorted(((i is None, i or 0, t or "", i) for i, t in rows))
     out = []

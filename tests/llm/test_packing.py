@@ -41,6 +41,17 @@ def test_documents(spark):
     check(docs.collect(), pack_documents(docs.repartition(5), PATH).collect(), 2048, slack=3)
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_documents_under_binding_capacities(spark, rule):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = pack_documents(docs.repartition(5), PATH, max_documents=3, max_attention=2048 * 2048 // 2 + 2048 * 1024, rule=rule)
+    assert dict(got.dtypes)["piece"] == "int"
+    bins = check(docs.collect(), got.collect(), 2048, slack=10**6).values()
+    assert all(len(b) <= 3 and sum(n * n for _, n in b) <= 2048 * 2048 for b in bins)
+    tight = pack_documents(docs, PATH, capacity=512, max_documents=2, max_attention=512 * 512, rule=rule).collect()
+    assert max(len(b) for b in check(docs.collect(), tight, 512, slack=10**6).values()) == 2
+
+
 def test_odd_rows(spark, odd_docs):
     check(odd_docs.collect(), pack_documents(odd_docs, PATH, capacity=64).collect(), 64)
 
