@@ -81,6 +81,32 @@ def discard(df: DataFrame | None) -> None:
         _delete(df.sparkSession, path)
 
 
+def made() -> int:
+    """A mark for ``discard_since``: how many tables this session has."""
+    return len(_MADE)
+
+
+def discard_since(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
+    """Delete the tables written since ``mark`` but for ``keep``: all that read them has been written to those."""
+    kept = {df._stored_at for df in keep}
+    for path in [p for p in _MADE[mark:] if p not in kept]:
+        _MADE.remove(path)
+        _delete(spark, path)
+
+
+def made_since(mark: int) -> list[str]:
+    return _MADE[mark:]
+
+
+def discard_unread(spark: SparkSession, paths: list[str], docs: DataFrame) -> None:
+    """Delete the tables at ``paths`` unless ``docs`` still reads one of them."""
+    if not any(f"/{p.rsplit('/', 1)[-1]}/" in f for f in docs.inputFiles() for p in paths):
+        for path in paths:
+            if path in _MADE:
+                _MADE.remove(path)
+                _delete(spark, path)
+
+
 def short_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most ``rows`` rows, unless the session has a setting of its own.
 

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 from ._graph import connected_components
-from ._store import discard, materialize, short_batches
+from ._store import discard, discard_since, made, materialize, short_batches
 
 PERMUTATIONS, ROWS = 64, 4
 _rng = np.random.default_rng(41)
@@ -209,6 +209,7 @@ def near_duplicates(
 ) -> DataFrame:
     """(doc_id, n_shingles, set_key, component_id, kept), one row per input row."""
     short_batches(docs.sparkSession)
+    mark = made()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialize(
         texts.mapInArrow(_signed(shingle_words), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "signatures"
@@ -217,9 +218,14 @@ def near_duplicates(
         signed.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
         "classes",
     )
+    # bands are most of the table and not needed again
+    signatures, signed = signed, materialize(signed.drop("bands"), "sets")
+    discard(signatures)
     active, links, rounds = classes, None, 0
     while True:
+        before = made()
         stars = materialize(star_edges(active), "stars")
+        discard_since(docs.sparkSession, before, stars)
         found = connected_components(stars)
         discard(stars)
         members = materialize(
@@ -258,7 +264,8 @@ def near_duplicates(
     near = near.join(lowest, "root").select("set_key", "low")
     of_class = classes.select("set_key", "rep").join(near, "set_key", "left").select(F.col("set_key").alias("key"), F.least("rep", "low").alias("of_set"))
     of_class = materialize(of_class, "components")
-    out = signed.drop("bands").join(of_class, F.col("set_key") == F.col("key"), "left").drop("key")
+    discard_since(docs.sparkSession, mark, signed, of_class)
+    out = signed.join(of_class, F.col("set_key") == F.col("key"), "left").drop("key")
     out = out.withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("of_set"))).drop("of_set")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

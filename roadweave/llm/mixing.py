@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import materialize
+from ._store import discard_since, made, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE = 5_000
@@ -126,6 +126,7 @@ def mix_sources(
     running number of equal rows.  What is joined to documents by source is a
     written table with a few rows for each source.
     """
+    mark = made()
     sized = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
@@ -161,6 +162,7 @@ def mix_sources(
     ranked = ranked.join(sums, F.col("source").eqNullSafe(F.col("of")) & (F.col("slice") == F.col("at")), "left").drop("of", "at")
     ranked = ranked.withColumn("extra", is_open & (F.col("before") + F.col("upto") <= F.col("rest")))
     ranked = materialize(ranked.drop("u", "slice", "slices", "middle", "before", "upto"), "ranked")
+    discard_since(docs.sparkSession, mark, ranked)
     gaps = ranked.groupBy(F.col("source").alias("of")).agg(
         (F.first("rest") - F.coalesce(F.sum(F.when(F.col("extra"), F.col("size"))), F.lit(0))).alias("gap")
     )
@@ -180,6 +182,7 @@ def mix_sources(
         gaps = materialize(gaps.withColumn("gap", F.col("gap") - F.coalesce(F.col(f"{fill}.size"), F.lit(0))), "gaps")
         some = gaps.filter(F.col(fill).isNotNull()).limit(1).count() > 0
         filled.append(fill)
+    discard_since(docs.sparkSession, mark, ranked, gaps)
     gaps = gaps.drop("gap")
     ranked = ranked.join(gaps, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     more = F.col("extra")
@@ -193,9 +196,12 @@ def mix_sources(
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **more) -> DataFrame:
     """The mix itself: each row of ``docs`` as many times as it is taken, with all its columns, whatever their names."""
+    mark = made()
     copies = mix_sources(docs, id_col, text_col, source_col, **more).filter("copies > 0").select(
         F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("of_text").alias("h"), F.col("nth").alias("m"), "copies"
     )
+    copies = materialize(copies, "copies")
+    discard_since(docs.sparkSession, mark, copies)
     keyed = docs.select(
         F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"),
         F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("of_text"),

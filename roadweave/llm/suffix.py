@@ -54,7 +54,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._store import discard, materialize, short_batches
+from ._store import discard, discard_since, made, materialize, short_batches
 
 EMPTY_SHA256 = sha256(b"").hexdigest()
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -483,6 +483,7 @@ def remove_repeats(
     of them ("length" or "passages") the kept text is without.
     """
     short_batches(docs.sparkSession)
+    mark = made()
     lengths = tuple(sorted({x for x in (length, passage_bytes) if x}))
     least, longest = lengths[0], lengths[-1]
     gram = least // 2
@@ -537,12 +538,12 @@ def remove_repeats(
         ),
         "rests",
     )
-    discard(texts)
     copied = F.col("copies") > 1
     gone = copied & (F.col("n_bytes") >= length) if length else F.lit(False)
     passage = copied & (F.col("n_bytes") >= passage_bytes) & (F.col("words") > passage_words) if passage_bytes else F.lit(False)
     # one join on the text, with a written table: copies of one text may be a third of all rows
     of_k = materialize(classes.select("k", "copies").join(rests.drop("kept_text"), "k", "left").withColumnRenamed("k", "key"), "covered")
+    discard_since(docs.sparkSession, mark, ids, rests, of_k)
     joined = ids.join(of_k, F.col("k") == F.col("key")).drop("key")
     whole = lambda test, value, part: F.when(test, value).otherwise(F.coalesce(part, F.lit(0))).cast("long").alias(part)
     rows = joined.select(
@@ -573,9 +574,11 @@ def without_repeats(
     character that lost some of its bytes, the others go as well.  Columns of
     any name pass unchanged; a table without ``length_col`` gets none.
     """
+    mark = made()
     rows, rests = remove_repeats(docs, id_col, text_col, None, passage_bytes, passage_words, "passages", **more)
     gone = rows.filter("n_bytes > 0 and n_passage_bytes = n_bytes").select("k").distinct().withColumn("rest", F.lit(""))
     changed = materialize(gone.union(rests.join(gone.select("k"), "k", "left_anti")), "changed")
+    discard_since(docs.sparkSession, mark, changed)
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("at"))
     out = keyed.join(changed, F.col("at") == F.col("k"), "left")
     new = F.coalesce("rest", F.col("row")[text_col])
