@@ -82,7 +82,7 @@ def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(_read(spark, sf_dir, "pages"), URL_RULES, back_off=True).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+    return filter_urls(_read(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template", "branch", F.round("purity", 9).alias("purity"))
 
 
 QUERIES = {
@@ -104,4 +104,5 @@ ORACLES: dict[str, str] = {
     "op4_warc_zstd": sql.OP4,
     "op6_suffix_dedup": sql.OP6,
     "op8_pareto_mixing": sql.OP8,
+    "op10_url_templates": sql.OP10,
 }

@@ -146,3 +146,85 @@ n AS (
 )
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies, weight FROM n
 """
+
+
+def _url_level(k: int) -> str:
+    """Templates one segment longer: variable and rare segments become ``*``."""
+    x = f"parts[{k + 1}]"
+    variable = (
+        f"regexp_matches({x}, '^([0-9][0-9._-]*|[0-9a-fA-F]{{8,}}|[0-9a-fA-F]{{8}}-[0-9a-fA-F-]{{27}})(\\.[A-Za-z]{{1,5}})?$')"
+        f" OR (regexp_matches({x}, '^[0-9A-Za-z_%-]{{5,}}(\\.[A-Za-z]{{1,5}})?$') AND regexp_matches({x}, '^[^.]*[0-9]'))"
+    )
+    return f"""
+s{k} AS (SELECT *, CASE WHEN len(parts) > {k} THEN CASE WHEN {variable} THEN '*' ELSE {x} END END AS seg FROM r{k}),
+n{k} AS (SELECT host, template, seg, sum(n) AS rows_n FROM s{k} WHERE seg IS NOT NULL GROUP BY 1, 2, 3),
+p{k} AS (SELECT *, sum(rows_n) OVER w AS all_n, count(*) OVER w AS children FROM n{k} WINDOW w AS (PARTITION BY host, template)),
+r{k + 1} AS (
+  SELECT s.host, s.path, s.n, s.allow, s.block, s.parts,
+    s.template || CASE WHEN s.seg IS NULL THEN '' WHEN children <= 12 OR (rows_n >= 30 AND rows_n >= 0.02 * all_n) THEN '/' || s.seg ELSE '/*' END AS template
+  FROM s{k} s LEFT JOIN p{k} p ON p.host = s.host AND p.template = s.template AND p.seg = s.seg
+),"""
+
+
+def _url_rules() -> str:
+    """The rule that decides a url, the longest first."""
+    rules = [("www.example.com", "/en/", "allow"), ("example.com", "/en/", "block"), ("net", "/es/", "block"), ("net", "/fr/", "block"), ("com", "/", "allow")]
+    fits = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{'rule': '{h}{p}', 'verdict': '{v}'}}" for h, p, v in rules]
+    return "CASE " + " ".join(fits) + " END"
+
+
+OP10 = rf"""
+WITH RECURSIVE u AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+),
+g AS (SELECT *, {_url_rules()} AS given FROM u),
+r0 AS (
+  SELECT host, path, count(*) AS n, count(*) FILTER (given.verdict = 'allow') AS allow, count(*) FILTER (given.verdict = 'block') AS block,
+    list_filter(string_split(path, '/'), lambda x: x <> '') AS parts, '' AS template
+  FROM g GROUP BY host, path
+),
+{"".join(map(_url_level, range(6)))}
+t AS (SELECT host, path, n, allow, block, template || CASE WHEN len(parts) > 6 THEN '/**' ELSE '' END AS template FROM r6),
+labelled AS (SELECT host, template, sum(n) AS n, sum(allow) AS allow, sum(block) AS block, string_split(template, '/') AS parts FROM t GROUP BY host, template),
+lv AS (
+  SELECT host, template, n, allow, block, i - 1 AS level, parts[i] AS seg, array_to_string(parts[1:i - 1], '/') AS parent, array_to_string(parts[i + 1:], '/') AS below
+  FROM (SELECT *, unnest(generate_series(1, len(parts))) AS i FROM labelled)
+),
+node AS (SELECT host, level, parent, seg, sum(n) AS n, sum(allow + block) AS labels, sum(block) AS block FROM lv GROUP BY 1, 2, 3, 4),
+shape AS (SELECT host, level, parent, seg, below, sum(n) AS of_n FROM lv WHERE level > 0 AND seg NOT IN ('*', '**') GROUP BY 1, 2, 3, 4, 5),
+sized AS (SELECT *, sum(of_n) OVER (PARTITION BY host, level, parent, seg) AS n FROM shape),
+profile AS (SELECT host, level, parent, seg, string_agg(below, ' ' ORDER BY below) AS profile FROM sized WHERE of_n >= 0.1 * n GROUP BY 1, 2, 3, 4),
+shaped AS (SELECT sized.*, profile FROM sized JOIN profile USING (host, level, parent, seg)),
+pooled AS (SELECT host, level, parent, profile, below, sum(of_n) AS pool_n FROM shaped GROUP BY 1, 2, 3, 4, 5),
+pools AS (SELECT *, sum(pool_n) OVER w AS all_n, count(*) OVER w - 1 AS df FROM pooled WINDOW w AS (PARTITION BY host, level, parent, profile)),
+chi AS (
+  SELECT host, level, parent, seg, profile, any_value(n) AS n, any_value(df) AS df, sum(CAST(of_n AS DOUBLE) * of_n / (pool_n / all_n)) AS q
+  FROM shaped JOIN pools USING (host, level, parent, profile, below) GROUP BY 1, 2, 3, 4, 5
+),
+alike AS (SELECT chi.host, chi.level, chi.parent, seg, profile, labels, block FROM chi JOIN node USING (host, level, parent, seg) WHERE q / chi.n - chi.n <= df + 1.96 * sqrt(2 * df) + 1e-6),
+rated AS (SELECT *, sum(block) OVER w / nullif(sum(labels) OVER w, 0) AS rate FROM alike WINDOW w AS (PARTITION BY host, level, parent, profile)),
+tested AS (SELECT * FROM rated WHERE labels = 0 OR abs(block / labels - rate) / sqrt(greatest(rate * (1 - rate), 1e-9) / labels) < 1.96),
+merged AS (
+  SELECT host, level, parent, seg, sum(block) OVER w AS m_block, sum(labels) OVER w AS m_labels FROM tested
+  WINDOW w AS (PARTITION BY host, level, parent, profile) QUALIFY count(*) OVER w > 1
+),
+way AS (
+  SELECT lv.host, lv.template, lv.level, CASE WHEN m_labels IS NULL THEN lv.seg ELSE '+' END AS shown, coalesce(m_block, node.block) AS b, coalesce(m_labels, node.labels) AS n
+  FROM lv JOIN node USING (host, level, parent, seg) LEFT JOIN merged USING (host, level, parent, seg)
+),
+beyond AS (
+  SELECT host, template, level, shown, greatest(0, b - coalesce(lead(b) OVER w, 0)) AS b, greatest(0, n - coalesce(lead(n) OVER w, 0)) AS n FROM way
+  WINDOW w AS (PARTITION BY host, template ORDER BY level)
+),
+down AS (
+  SELECT host, template, 0 AS level, (b + 0.5::DOUBLE * 2) / (n + 2) AS purity FROM beyond WHERE level = 0
+  UNION ALL
+  SELECT x.host, x.template, d.level + 1, (x.b + d.purity * 2) / (x.n + 2) FROM down d JOIN beyond x ON x.host = d.host AND x.template = d.template AND x.level = d.level + 1
+),
+judged AS (SELECT host, template, arg_max(purity, level) AS purity FROM down GROUP BY 1, 2),
+branches AS (SELECT host, template, string_agg(shown, '/' ORDER BY level) AS branch FROM way GROUP BY 1, 2)
+SELECT g.page_id, g.host, g.path, g.given.rule AS rule, coalesce(g.given.verdict, CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict, t.template, branch, round(purity, 9) AS purity
+FROM g JOIN t ON t.host = g.host AND t.path = g.path JOIN judged j ON j.host = t.host AND j.template = t.template JOIN branches x ON x.host = t.host AND x.template = t.template
+"""

@@ -11,15 +11,17 @@ What no rule decides is judged by the template tree:
    look like numbers, dates, hashes or slugs with digits are variable; others stay
    if they are frequent below their parent (``min_share``) or if the parent has few
    different children (``max_children``).  Levels below ``max_depth`` are ``**``.
-3. Sibling templates (equal but for one literal segment, the last literal) whose
-   block rates do not differ from the pooled rate (two-sided z below ``merge_z``)
-   are merged and share their labels.
-4. A template is rejected if its smoothed purity, (block + k prior) / (labels + k),
-   reaches ``purity``.  Without labels the purity is the prior: the url is allowed;
-   or, with ``back_off``, it is that of the branches around it: from the host down,
-   each template prefix takes its parent's purity as prior and adds the labels of all
-   urls below it, and the deepest prefix with labels counts.  A host without labels
-   keeps the prior.
+3. Siblings (literal segments below one parent) whose subtrees have the same main
+   shapes (those of a tenth of their urls or more) are compared: a branch is alike
+   if its counts of shapes do not differ from the pooled ones of these siblings
+   (chi-squared below its mean by ``merge_z`` deviations).  Alike branches are merged
+   and share their labels, branches without labels among them; a branch whose own
+   block rate differs from the pooled rate (two-sided z of ``merge_z``) stays alone.
+4. Purity is smoothed from the host down: each branch on the way to a template adds
+   the labels that it (or its merged branch) has beyond the next one on the way, so
+   none counts twice, to its parent's purity, taken as ``strength`` labels; above the
+   host there is the prior.  A template is rejected if its purity reaches ``purity``.
+   A host without labels keeps the prior.
 
 All steps are DataFrame aggregates and equi-joins on what is left of the urls: a
 host with a third of all rows is spread by path and segment, never one group.
@@ -77,56 +79,60 @@ def path_templates(
             .filter((F.col("children") <= max_children) | ((F.col("rows_n") >= min_rows) & (F.col("rows_n") >= min_share * F.col("all_n"))))
             .select("host", "template", "seg", F.lit(True).alias("literal"))
         )
-        rows = rows.join(keep, ["host", "template", "seg"], "left")
+        # a written table, so AQE can split a host with one first folder
+        rows = rows.join(materialize(keep, "literals"), ["host", "template", "seg"], "left")
         step = F.when(F.col("seg").isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), F.when(F.col("literal"), F.col("seg")).otherwise(F.lit("*"))))
         rows = materialize(rows.withColumn("template", F.concat("template", step)).drop("seg", "literal"), f"level{level}")
     deep = F.when(F.size("parts") > max_depth, F.lit("/**")).otherwise(F.lit(""))
     return rows.select("host", "path", F.concat("template", deep).alias("template"))
 
 
-def template_purity(
-    labelled: DataFrame, merge_z: float = 1.96, prior: float = 0.5, strength: float = 2.0
-) -> DataFrame:
-    """(host, template, branch, purity): ``labelled`` has host, template and sums of allow and block."""
-    # the last literal segment is what siblings may differ in
-    branch = F.regexp_replace("template", r"/[^/*]+((?:/\*+)*)$", r"/+$1")
-    t = labelled.withColumn("branch", branch).withColumn("labels", F.col("allow") + F.col("block"))
-    pooled = (
-        t.filter("labels > 0").groupBy("host", "branch")
-        .agg(F.sum("block").alias("all_block"), F.sum("labels").alias("all_labels"))
-    )
-    t = t.join(pooled, ["host", "branch"], "left")
-    rate = F.col("all_block") / F.col("all_labels")
-    apart = F.abs(F.col("block") / F.col("labels") - rate) / F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-9)) / F.col("labels"))
-    t = t.withColumn("merged", F.coalesce(F.when(F.col("labels") > 0, apart < merge_z), F.lit(False)))
-    merged = t.filter("merged").groupBy("host", "branch").agg(F.sum("block").alias("m_block"), F.sum("labels").alias("m_labels"))
-    t = t.join(merged, ["host", "branch"], "left")
-    block = F.when(F.col("merged"), F.col("m_block")).otherwise(F.col("block"))
-    labels = F.when(F.col("merged"), F.col("m_labels")).otherwise(F.col("labels"))
-    return t.select(
-        "host",
-        "template",
-        F.when(F.col("merged"), F.col("branch")).otherwise(F.col("template")).alias("branch"),
-        ((block + prior * strength) / (labels + strength)).alias("purity"),
-    )
-
+def tree_purity(labelled: DataFrame, merge_z: float = 1.96, prior: float = 0.5, strength: float = 2.0, main: float = 0.1) -> DataFrame:
+    """(host, template, branch, purity): ``labelled`` has host, template and sums of n, allow and block.
 
-def prefix_purity(labelled: DataFrame, prior: float = 0.5, strength: float = 2.0) -> DataFrame:
-    """(host, template, backed): for templates without labels, the purity of their prefixes, each smoothed by its parent's."""
-    depth = F.size(F.split("template", "/")) - 1
-    level = F.explode(F.sequence(F.lit(0), F.greatest(depth - 1, F.lit(0)))).alias("level")
-    up = labelled.select("host", "template", "allow", "block", level)
-    up = up.withColumn("prefix", F.concat_ws("/", F.slice(F.split("template", "/"), F.lit(1), F.col("level") + 1)))
-    sums = (
-        up.filter("allow + block > 0").groupBy("host", "prefix")
-        .agg(F.sum("block").alias("p_block"), F.sum(F.col("allow") + F.col("block")).alias("p_labels"))
+    ``branch`` is the template with ``+`` for each segment that is merged with
+    siblings.  A template is a row for each of its levels; all sums are over
+    these rows, which are as many as templates, not urls.
+    """
+    parts = F.split("template", "/")
+    rows = labelled.select("host", "template", "n", "allow", "block", parts.alias("parts"), F.posexplode(parts).alias("level", "seg"))
+    rows = rows.select(
+        "host", "template", "n", "allow", "block", "level", "seg",
+        F.when(F.col("level") > 0, F.concat_ws("/", F.slice("parts", F.lit(1), F.col("level")))).otherwise("").alias("parent"),
+        F.concat_ws("/", F.slice("parts", F.col("level") + 2, F.greatest(F.size("parts") - F.col("level") - 1, F.lit(0)))).alias("below"),
     )
-    chain = (
-        up.filter("allow + block = 0").join(sums, ["host", "prefix"]).groupBy("host", "template")
-        .agg(F.array_sort(F.collect_list(F.struct("level", "p_block", "p_labels"))).alias("chain"))
+    rows = materialize(rows, "levels")
+    at, sums = ["host", "level", "parent"], [F.sum(c).alias(c) for c in ("n", "allow", "block")]
+    node = materialize(rows.groupBy(*at, "seg").agg(*sums), "nodes")
+    literal = (F.col("level") > 0) & ~F.col("seg").isin("*", "**")
+    shapes = rows.filter(literal).groupBy(*at, "seg", "below").agg(F.sum("n").alias("of_n"))
+    shapes = materialize(shapes.join(node.select(*at, "seg", "n"), [*at, "seg"]), "shapes")
+    profile = shapes.filter(F.col("of_n") >= main * F.col("n")).groupBy(*at, "seg").agg(F.concat_ws(" ", F.array_sort(F.collect_list("below"))).alias("profile"))
+    shapes = materialize(shapes.join(profile, [*at, "seg"]), "profiles")
+    pooled = shapes.groupBy(*at, "profile", "below").agg(F.sum("of_n").alias("pool_n"))
+    whole = pooled.groupBy(*at, "profile").agg(F.sum("pool_n").alias("all_n"), (F.count(F.lit(1)) - 1).alias("df"))
+    share = F.col("pool_n") / F.col("all_n")
+    compared = shapes.join(pooled, [*at, "profile", "below"]).join(whole, [*at, "profile"])
+    chi = compared.groupBy(*at, "seg", "profile", "n").agg(F.sum(F.col("of_n") * F.col("of_n") / share).alias("q"), F.first("df").alias("df"))
+    alike = chi.filter(F.col("q") / F.col("n") - F.col("n") <= F.col("df") + merge_z * F.sqrt(2 * F.col("df")) + 1e-6).select(*at, "seg", "profile")
+    alike = materialize(alike.join(node, [*at, "seg"]).withColumn("labels", F.col("allow") + F.col("block")), "alike")
+    rates = alike.groupBy(*at, "profile").agg((F.sum("block") / F.nullif(F.sum("labels"), F.lit(0))).alias("rate"))
+    tested = alike.join(rates, [*at, "profile"])
+    apart = F.abs(F.col("block") / F.col("labels") - F.col("rate")) / F.sqrt(F.greatest(F.col("rate") * (1 - F.col("rate")), F.lit(1e-9)) / F.col("labels"))
+    tested = materialize(tested.filter(F.when(F.col("labels") > 0, apart < merge_z).otherwise(True)).select(*at, "seg", "profile", "block", "labels"), "merged")
+    groups = tested.groupBy(*at, "profile").agg(F.sum("block").alias("m_block"), F.sum("labels").alias("m_labels"), F.count(F.lit(1)).alias("members"))
+    merged = tested.select(*at, "seg", "profile").join(groups.filter("members > 1"), [*at, "profile"]).drop("profile", "members")
+    evidence = node.join(merged, [*at, "seg"], "left").select(
+        *at, "seg", F.coalesce("m_block", "block").alias("e_block"), F.coalesce("m_labels", F.col("allow") + F.col("block")).alias("e_labels"),
+        F.when(F.col("m_labels").isNotNull(), "+").otherwise(F.col("seg")).alias("shown"),
     )
-    smooth = F.aggregate("chain", F.lit(prior), lambda p, x: (x["p_block"] + p * strength) / (x["p_labels"] + strength))
-    return chain.select("host", "template", smooth.alias("backed"))
+    evidence = materialize(evidence, "evidence")
+    way = rows.select("host", "template", *at[1:], "seg").join(evidence, [*at, "seg"])
+    way = way.groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("level", "shown", "e_block", "e_labels"))).alias("way"))
+    beyond = lambda c: lambda x, i: F.greatest(F.lit(0), x[c] - F.coalesce(F.get("way", i + 1)[c], F.lit(0)))
+    own = F.transform("way", lambda x, i: F.struct(beyond("e_block")(x, i).alias("b"), beyond("e_labels")(x, i).alias("n")))
+    smooth = F.aggregate(own, F.lit(prior), lambda p, x: (x["b"] + p * strength) / (x["n"] + strength))
+    return way.select("host", "template", F.concat_ws("/", F.transform("way", lambda x: x["shown"])).alias("branch"), smooth.alias("purity"))
 
 
 def filter_urls(
@@ -135,10 +141,9 @@ def filter_urls(
     id_col: str = "page_id",
     url_col: str = "url",
     purity: float = 0.8,
-    back_off: bool = False,
     **tree,
 ) -> DataFrame:
-    """(page_id, host, path, rule, verdict, template, purity), one row per row."""
+    """(page_id, host, path, rule, verdict, template, branch, purity), one row per row."""
     url = F.col(url_col)
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.withColumn("by_rule", rule_for(F.col("host"), F.col("path"), rules))
@@ -152,11 +157,10 @@ def filter_urls(
         "paths",
     )
     templates = path_templates(paths.select("host", "path", "n"), **tree)
-    labelled = paths.join(templates, ["host", "path"]).groupBy("host", "template").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
-    judged = template_purity(labelled)
-    if back_off:
-        judged = judged.join(prefix_purity(labelled), ["host", "template"], "left").withColumn("purity", F.coalesce("backed", "purity")).drop("backed")
-    judged = templates.join(judged, ["host", "template"])
+    labelled = paths.join(templates, ["host", "path"]).groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "allow", "block")])
+    judged = materialize(tree_purity(labelled), "purities")
+    # a written table: urls that are null, or one url that very many rows have, are one key
+    judged = materialize(templates.join(judged, ["host", "template"]), "judged")
     out = rows.join(judged, ["host", "path"], "left")
     method = F.when(F.col("purity") >= purity, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("given", method).alias("verdict"), "template", "branch", "purity")

@@ -48,25 +48,35 @@ def test_odd_rows(spark):
     assert filter_urls(df.limit(0), URL_RULES).count() == 0
 
 
+def decided(spark, urls, rules, **more):
+    got = filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules, **more).collect()
+    return {r.page_id: r for r in got}
+
+
 def test_templates_and_rejection(spark):
     """Spam folders that the rules only partly cover are rejected, clean folders of the same host are not."""
     rules = [("s.io", "/buy/1", "block"), ("s.io", "/news/1", "allow"), ("t.io", "/x/1", "block")]
     urls = [f"http://s.io/buy/{i}/offer{i}.html" for i in range(1, 200)] + [f"http://s.io/news/{i}" for i in range(1, 200)]
     urls += [f"http://s.io/help/{i}" for i in range(50)] + ["http://t.io/x/1", "http://t.io/x/2"]
-    got = filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
-    by = {r.page_id: r for r in got}
-    assert {r.template for r in got if r.host == "s.io"} == {"/buy/*/*", "/news/*", "/help/*"}
+    by = decided(spark, urls, rules)
+    assert {r.template for r in by.values() if r.host == "s.io"} == {"/buy/*/*", "/news/*", "/help/*"}
     for i, u in enumerate(urls):
         assert by[i].verdict == ("block" if "/buy/" in u or u == "http://t.io/x/1" else "allow")
-    assert by[0].purity == pytest.approx((111 + 1) / (111 + 2))
+    # /help/* has the shape of /news/*, so it takes the labels of that branch, not of /buy/*/*
+    assert by[len(urls) - 3].branch == "/+/*" and by[len(urls) - 3].purity < 0.1
 
 
 def test_similar_branches_share_labels(spark):
-    rules = [("m.io", f"/c{i}/1", "block") for i in range(5)]
-    urls = [f"http://m.io/c{i}/{k}" for i in range(5) for k in (1, 22, 33)] + ["http://m.io/d/1"]
-    got = filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
-    assert {r.verdict for r in got if r.path != "/d/1"} == {"block"} and {r.branch for r in got if r.path != "/d/1"} == {"/+/*"}
-    assert [r.verdict for r in got if r.path == "/d/1"] == ["allow"]
+    """Unlabelled folders that look like blocked ones go with them; one of another shape and one with other labels do not."""
+    rules = [("m.io", f"/c{i}/1", "block") for i in range(9)] + [("m.io", "/e/", "allow")]
+    urls = [f"http://m.io/{c}/{k}" for c in (*(f"c{i}" for i in range(9)), "d", "e") for k in (1, 22, 33)]
+    urls += [f"http://m.io/f/about/team/{c}" for c in ("ann", "bob", "tom")]
+    by = {urls[i]: r for i, r in decided(spark, urls, rules).items()}
+    assert {r.branch for u, r in by.items() if "/c" in u or "/d" in u} == {"/+/*"}
+    assert by["http://m.io/d/1"].verdict == "block" and by["http://m.io/e/1"].branch == "/e/*"
+    assert by["http://m.io/f/about/team/ann"].branch == "/f/about/team/+" and by["http://m.io/f/about/team/ann"].verdict == "allow"
+    host = (0 + 1) / (3 + 2)  # what the host has beyond the merged branch
+    assert by["http://m.io/d/1"].purity == pytest.approx((9 + 2 * host) / 11)
 
 
 def brute_tree(urls, rules, max_depth=6, max_children=12, min_share=0.02, min_rows=30, merge_z=1.96, prior=0.5, strength=2.0):
@@ -106,29 +116,49 @@ def brute_tree(urls, rules, max_depth=6, max_children=12, min_share=0.02, min_ro
     for (h, p), n in count.items():
         allow[h, template[h, p]] += n * (by_rule(h, p) == "allow")
         block[h, template[h, p]] += n * (by_rule(h, p) == "block")
-    names = {(h, template[h, p]) for h, p in count}
-    group = {(h, t): (h, re.sub(r"/[^/*]+((?:/\*+)*)$", r"/+\1", t)) for h, t in names}
-    pool = defaultdict(lambda: [0, 0])
-    for x in names:
-        pool[group[x]][0] += block[x]
-        pool[group[x]][1] += block[x] + allow[x]
-    merged = {}
-    for x in names:
-        n = block[x] + allow[x]
-        if n:
-            r = pool[group[x]][0] / pool[group[x]][1]
-            merged[x] = abs(block[x] / n - r) / (max(r * (1 - r), 1e-9) / n) ** 0.5 < merge_z
-    sums = defaultdict(lambda: [0, 0])
-    for x in names:
-        if merged.get(x):
-            sums[group[x]][0] += block[x]
-            sums[group[x]][1] += block[x] + allow[x]
+    rows = Counter()
+    for (h, p), n in count.items():
+        rows[h, template[h, p]] += n
+    labels = {x: (block[x], block[x] + allow[x]) for x in rows}
+
+    def levels(x):
+        parts = x[1].split("/")
+        return [((x[0], k, "/".join(parts[:k])), parts[k], "/".join(parts[k + 1 :])) for k in range(len(parts))]
+
+    own, shape, family = defaultdict(lambda: [0, 0]), defaultdict(Counter), defaultdict(set)
+    for x, n in rows.items():
+        for at, seg, below in levels(x):
+            own[at, seg][0] += labels[x][0]
+            own[at, seg][1] += labels[x][1]
+            if at[1] and seg not in ("*", "**"):
+                shape[at, seg][below] += n
+    for (at, seg), c in shape.items():
+        family[at, " ".join(sorted(s for s, n in c.items() if n >= 0.1 * c.total()))].add(seg)
+    group = {}
+    for (at, _), segs in family.items():
+        pool = sum((shape[at, s] for s in segs), Counter())
+        df, alike = len(pool) - 1, []
+        for s in segs:
+            n = shape[at, s].total()
+            chi = sum((shape[at, s][b] - n * pool[b] / pool.total()) ** 2 / (n * pool[b] / pool.total()) for b in pool)
+            if chi <= df + merge_z * (2 * df) ** 0.5 + 1e-6:
+                alike.append(s)
+        b, n = (sum(own[at, s][k] for s in alike) for k in (0, 1))
+        near = lambda x, m: m == 0 or abs(x / m - b / n) / (max(b / n * (1 - b / n), 1e-9) / m) ** 0.5 < merge_z
+        members = [s for s in alike if near(*own[at, s])]
+        if len(members) > 1:
+            sums = tuple(sum(own[at, s][k] for s in members) for k in (0, 1))
+            group |= {(at, s): sums for s in members}
     out = {}
     for u in urls:
         h, p = parse(u)
-        x = h, template[h, p]
-        b, n = sums[group[x]] if merged.get(x) else (block[x], block[x] + allow[x])
-        out[u] = (x[1], group[x][1] if merged.get(x) else x[1], (b + prior * strength) / (n + strength))
+        purity, branch, way = prior, [], []
+        for at, seg, _ in levels((h, template[h, p])):
+            branch.append("+" if (at, seg) in group else seg)
+            way.append(group.get((at, seg), own[at, seg]))
+        for (b, n), (below_b, below_n) in zip(way, [*way[1:], (0, 0)]):
+            purity = (max(0, b - below_b) + purity * strength) / (max(0, n - below_n) + strength)
+        out[u] = (template[h, p], "/".join(branch), purity)
     return out
 
 
@@ -149,16 +179,18 @@ def test_tree_against_brute_force(spark, seed):
             assert r.verdict == ("block" if p >= 0.8 else "allow")
 
 
-def test_unlabelled_templates_back_off_to_their_prefixes(spark):
+def test_unlabelled_templates_follow_their_branches(spark):
     rules = [("b.net", "/fr/", "block"), ("b.net", "/es/", "block"), ("c.com", "/x/bad/", "block"), ("c.com", "/y/", "allow")]
     urls = [f"http://b.net/{p}/{i}" for p in ("fr", "es", "en") for i in range(9)] + [f"http://d.org/en/{i}" for i in range(9)]
     urls += [f"http://c.com/{p}/{i}" for p in ("x/bad", "x/new", "y", "z") for i in range(9)]
-    got = filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules, back_off=True).collect()
+    got = filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
     by = {r.path.rsplit("/", 1)[0] + r.host[:1]: r for r in got}
-    host = (9 + 1) / (18 + 2)
-    assert by["/enb"].purity == pytest.approx((18 + 1) / (18 + 2)) and by["/enb"].verdict == "block"
-    assert by["/x/newc"].purity == pytest.approx((9 + 2 * host) / (9 + 2)) and by["/x/newc"].verdict == "block"
-    assert by["/zc"].purity == pytest.approx(host) and by["/zc"].verdict == "allow"
+    low = lambda *way: __import__("functools").reduce(lambda p, x: (x[0] + 2 * p) / (x[1] + 2), way, 0.5)
+    # /en looks like /fr and /es, which are blocked
+    assert by["/enb"].purity == pytest.approx(low((18, 18), (0, 0))) and by["/enb"].verdict == "block" and by["/enb"].branch == "/+/*"
+    # /x has a blocked folder and one like it; /z looks like /y, which is allowed
+    assert by["/x/newc"].verdict == "block" and by["/x/newc"].branch == "/x/+/*"
+    assert by["/zc"].verdict == "allow" and by["/zc"].purity < 0.2
     assert by["/end"].purity == 0.5 and by["/end"].verdict == "allow"
 
 
