@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.traffic import cast_speed, is_car_road, tag_map
+from ..storage import discard, materialize
 
 
 def get_segments(ways: DataFrame, inner_box, inner_tags: list[str], outer_box, outer_tags: list[str]) -> DataFrame:
@@ -83,11 +84,14 @@ def ins_outs(segments: DataFrame) -> DataFrame:
     The condition on pairs is two equi-joins on exploded nodes and a union.
     """
     inner = lambda lo: F.slice("nodes", F.lit(lo), F.greatest(F.size("nodes") - 1, F.lit(0)))
-    ends = segments.select(F.col("segment").alias("src"), F.col("last").alias("node"), F.col("nodes").alias("a"))
-    enters = segments.select(F.col("segment").alias("dst"), F.col("nodes").alias("b"), F.explode(F.array_distinct(inner(1))).alias("node"))
-    starts = segments.select(F.col("segment").alias("dst"), F.col("first").alias("node"), F.col("nodes").alias("b"))
-    leaves = segments.select(F.col("segment").alias("src"), F.col("nodes").alias("a"), F.explode(F.array_distinct(inner(2))).alias("node"))
-    other = (F.col("a") != F.col("b")) & (F.col("a") != F.reverse("b"))
+    # 96 bits of hashes and the size stand for the node lists that must differ: joins carry these, not the lists
+    both = lambda c: F.struct(F.xxhash64(c), F.hash(c), F.size(c))
+    s = segments.select("segment", "first", "last", "nodes", both(F.col("nodes")).alias("own"), both(F.reverse("nodes")).alias("turned"))
+    ends = s.select(F.col("segment").alias("src"), F.col("last").alias("node"), F.col("own").alias("a"))
+    enters = s.select(F.col("segment").alias("dst"), F.col("own").alias("b"), F.col("turned").alias("r"), F.explode(F.array_distinct(inner(1))).alias("node"))
+    starts = s.select(F.col("segment").alias("dst"), F.col("first").alias("node"), F.col("own").alias("b"), F.col("turned").alias("r"))
+    leaves = s.select(F.col("segment").alias("src"), F.col("own").alias("a"), F.explode(F.array_distinct(inner(2))).alias("node"))
+    other = (F.col("a") != F.col("b")) & (F.col("a") != F.col("r"))
     one = ends.join(enters, "node").filter(other).select("src", "dst")
     two = leaves.join(starts, "node").filter(other).select("src", "dst")
     return one.union(two).distinct()
@@ -135,21 +139,28 @@ def merge_adjacency(adj: DataFrame, mapping: DataFrame) -> DataFrame:
 def remove_roundabouts(segments: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFrame:
     """Edges in which closed segments (first node = last node) are bridged: their ins lead straight to their outs.
 
-    Chains of adjacent roundabouts collapse by repeating until none is left.
+    Only edges that touch a roundabout take part.  Each round joins ways through
+    them, so chains of adjacent roundabouts are bridged in as many rounds as their
+    length has bits; what is not complete after ``rounds`` is an error.
     """
     closed = segments.filter("first = last").select("segment")
     into, out = closed.withColumnRenamed("segment", "dst"), closed.withColumnRenamed("segment", "src")
+    edges = edges.select("src", "dst").distinct()
+    plain = edges.join(into, "dst", "left_anti").join(out, "src", "left_anti").select("src", "dst")
+    near = materialize(edges.join(into, "dst", "left_semi").select("src", "dst").union(edges.join(out, "src", "left_semi").select("src", "dst")).distinct(), "roundabouts")
+    n = near.count()
     for _ in range(rounds):
-        ins, outs = edges.join(into, "dst", "left_semi"), edges.join(out, "src", "left_semi")
-        if ins.isEmpty() or outs.isEmpty():
+        ins = near.join(into, "dst", "left_semi").select("src", F.col("dst").alias("ring"))
+        outs = near.join(out, "src", "left_semi").select(F.col("src").alias("ring"), "dst")
+        more = ins.join(outs, "ring").filter("src <> dst").select("src", "dst")
+        before, near = near, materialize(near.union(more).distinct(), "roundabouts")
+        discard(before)
+        was, n = n, near.count()
+        if n == was:
             break
-        plain = edges.join(into, "dst", "left_anti").join(out, "src", "left_anti")
-        bridge = ins.select("src", F.col("dst").alias("ring")).join(outs.select(F.col("src").alias("ring"), "dst"), "ring").filter("src <> dst and src <> ring and dst <> ring").select("src", "dst")
-        new = plain.union(bridge).distinct()
-        if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
-            break
-        edges = new
-    return edges.join(into, "dst", "left_anti").join(out, "src", "left_anti")
+    else:
+        raise RuntimeError(f"roundabouts are not bridged after {rounds} rounds")
+    return plain.union(near.join(into, "dst", "left_anti").join(out, "src", "left_anti").select("src", "dst")).distinct()
 
 
 def merge_roundabout_chunks(chunks: list[dict]) -> list[dict]:
@@ -224,15 +235,22 @@ def merge_criteria(
     """(src, dst, criterion): the price of merging dst into src; infinite if the road classes differ or src is well known already.
 
     ``attributes`` also has ``highway``, ``km`` and ``members``.  Terms: profile
-    distance, change of direction from src's head to dst's tail, 1 if the two are
-    not linked, and a count of length conditions.
+    distance; difference in direction, of both heads if dst is an out of src (its
+    tail is src's head, or column ``out`` of ``edges`` says so), else of both tails;
+    1 if no end of one is an end of the other; and how many of three conditions
+    hold: the better known of the two has more than half of ``min_share``, over 10
+    members together, over 4 km together.
     """
     side = lambda p: attributes.select(F.col("segment").alias({"a": "src", "b": "dst"}[p]), *[F.col(c).alias(f"{p}_{c}") for c in attributes.columns if c != "segment"])
     d = profile_distance(edges, profiles, slots).join(side("a"), "src").join(side("b"), "dst")
-    turn = geo.direction_score(F.col("a_head_cos"), F.col("a_head_sin"), F.col("b_tail_cos"), F.col("b_tail_sin"))
-    unlinked = F.when((F.col("a_head") == F.col("b_tail")) | (F.col("b_head") == F.col("a_tail")), 0.0).otherwise(1.0)
+    if "out" in edges.columns:
+        d = d.join(edges.select("src", "dst", "out"), ["src", "dst"])
+    out = F.col("out") if "out" in edges.columns else F.col("a_head") == F.col("b_tail")
+    ends = lambda e: geo.direction_score(*(F.col(f"{p}_{e}_{c}") for p in "ab" for c in ("cos", "sin")))
+    turn = F.when(out, ends("head")).otherwise(ends("tail"))
+    unlinked = F.when(F.arrays_overlap(F.array("a_head", "a_tail"), F.array("b_head", "b_tail")), 0.0).otherwise(1.0)
     length = (
-        (F.col("b_share") > min_share / 2).cast("int") + (F.col("a_members") + F.col("b_members") > 10).cast("int") + (F.col("a_km") + F.col("b_km") > 4).cast("int")
+        (F.greatest("a_share", "b_share") > min_share / 2).cast("int") + (F.col("a_members") + F.col("b_members") > 10).cast("int") + (F.col("a_km") + F.col("b_km") > 4).cast("int")
     )
     price = weights[0] * F.col("distance") + weights[1] * turn + weights[2] * unlinked + weights[3] * length
     never = ~F.col("a_highway").eqNullSafe(F.col("b_highway")) | (F.col("a_share") >= min_share) | (F.col("src") == F.col("dst"))

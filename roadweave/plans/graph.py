@@ -267,7 +267,7 @@ def adjacency_symmetric(spark, d):
 def remove_roundabouts(spark, d):
     """Closed ways bridged in the linear graph; tested on small graphs."""
     s = G.directed_segments(V.ways(spark, d))
-    return G.remove_roundabouts(s, G.linear_edges(s), rounds=1)
+    return G.remove_roundabouts(s, G.linear_edges(s))
 
 
 @query("relation_backrefs", "SELECT o_orderkey AS id, coalesce(r.relations, '') AS relations FROM orders LEFT JOIN (SELECT l_orderkey, array_to_string(list(DISTINCT CAST(l_suppkey AS BIGINT) ORDER BY CAST(l_suppkey AS BIGINT)), ',') AS relations FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) r ON r.l_orderkey = o_orderkey")
@@ -301,13 +301,6 @@ def profile_distance(spark, d):
     return G.profile_distance(road_pairs(spark, d), profiles(spark, d), 24)
 
 
-@query("segment_attributes", f"SELECT s.segment, 0.0 AS share, s.last AS head, s.first AS tail FROM ends s WHERE len(s.nodes) > 1", "ends")
-def segment_attributes(spark, d):
-    s = G.directed_segments(V.ways(spark, d))
-    shares = s.filter("segment is null").select("segment", F.lit(0.0).alias("share"))
-    return G.segment_attributes(s, shares).select("segment", "share", "head", "tail")
-
-
 LON, LAT = (f"({v} + ({{0}} * {m} % {r}) / CAST(10000 AS DOUBLE))" for v, m, r in ((V.WEST, 7919, 2167), (V.SOUTH, 104729, 1025)))
 AZIMUTH = "atan2({} - {}, {} - {})"
 HEAD = AZIMUTH.format(*(f.format(f"p[{i}]") for f in (LON, LAT) for i in (-1, -2)))
@@ -315,7 +308,7 @@ TAIL = AZIMUTH.format(*(f.format(f"p[{i}]") for f in (LON, LAT) for i in (2, 1))
 
 
 @query(
-    "segment_attributes_all",
+    "segment_attributes",
     f"""WITH sh AS (SELECT l_orderkey AS way, count(DISTINCT isodow(l_shipdate)) / 7.0 AS share FROM lineitem GROUP BY 1),
       a AS (SELECT s.way, s.segment, s.nodes, CASE WHEN w.oneway = -1 THEN list_reverse(s.nodes) ELSE s.nodes END AS p FROM segs s JOIN ways w ON w.way = s.way)
       SELECT a.segment, sh.share, nodes[-1] AS head, nodes[1] AS tail, cos({HEAD}) AS head_cos, sin({HEAD}) AS head_sin, cos({TAIL}) AS tail_cos, sin({TAIL}) AS tail_sin
@@ -323,29 +316,42 @@ TAIL = AZIMUTH.format(*(f.format(f"p[{i}]") for f in (LON, LAT) for i in (2, 1))
     ("segs", "ways"),
     ("share", "head_cos", "head_sin", "tail_cos", "tail_sin"),
 )
-def segment_attributes_all(spark, d):
+def segment_attributes(spark, d):
     """Shares of weekdays with a known speed, ends and directions of all road segments."""
     s = G.directed_segments(V.ways(spark, d))
     shares = V.way_profiles(spark, d).groupBy("way").agg((F.count("speed") / F.lit(7.0)).alias("share"))
     return G.segment_attributes(s, s.select("way", "segment").join(shares, "way").select("segment", "share"))
 
 
+def _angle(road: str, head: bool) -> str:
+    return f"radians(20.0 * ({road} % 5) + {5 if head else 0})"
+
+
+TURN = "exp(abs(cos({0}) - cos({1})) + abs(sin({0}) - sin({1}))) - 1"
+CRITERIA = f"""pairs AS (SELECT road AS r, road + 1 AS n, true AS fwd FROM p0 UNION ALL SELECT road + 1, road, false FROM p0),
+  turned AS (SELECT *, CASE WHEN fwd THEN {TURN.format(_angle("r", True), _angle("n", True))} ELSE {TURN.format(_angle("r", False), _angle("n", False))} END AS turn FROM pairs)
+  SELECT 'r' || r AS src, 'r' || n AS dst,
+    2 * coalesce(g.distance, 2.0) + turn + 0.5 * ((greatest(a.share, b.share) > 0.75)::INT + ((r % 5) + (n % 5) + 2 > 10)::INT + ((r % 3) + (n % 3) > 4)::INT) AS criterion
+  FROM turned LEFT JOIN g ON g.road = least(r, n) JOIN sh a ON a.road = r JOIN sh b ON b.road = n WHERE r // 3 = n // 3 AND turn <= exp(1)"""
+
+
 @query(
     "merge_criteria",
-    PROFILE + """, sh AS (SELECT road, count(v) / 24.0 AS share FROM p GROUP BY 1)
-      SELECT 'r' || g.road AS src, 'r' || (g.road + 1) AS dst, CASE WHEN (g.road % 3) = ((g.road + 1) % 3) OR a.share >= 2 THEN -1.0 ELSE 2 * distance + 0.5 * (CASE WHEN b.share > 1.0 THEN 1 ELSE 0 END) + 0.25 * 0 END AS criterion
-      FROM g JOIN sh a ON a.road = g.road JOIN sh b ON b.road = g.road + 1 WHERE g.road % 3 <> 2""",
+    PROFILE + """, sh AS (SELECT road, count(v) / 24.0 AS share FROM p GROUP BY 1), p0 AS (SELECT DISTINCT x.road FROM gps x JOIN gps y ON y.road = x.road + 1), """ + CRITERIA,
     "gps",
     "criterion",
 )
 def merge_criteria(spark, d):
-    """Chain of roads r0, r1, ... in a straight line; groups of three share a class, across which no price is finite."""
+    """Chain of roads r0, r1, ..., priced in both directions; groups of three share a class, across which no price is finite."""
     p = profiles(spark, d)
     k = F.substring("segment", 2, 9).cast("long")
     a = p.groupBy("segment").agg((F.count("speed") / F.lit(24.0)).alias("share"))
-    a = a.select("segment", "share", k.alias("tail"), (k + 1).alias("head"), *[F.lit(v).alias(c) for c, v in (("head_cos", 1.0), ("head_sin", 0.0), ("tail_cos", 1.0), ("tail_sin", 0.0), ("km", 1.0), ("members", 1))], F.floor(k / 3).alias("highway"))
-    out = G.merge_criteria(road_pairs(spark, d), a, p, 24, (2.0, 1.0, 0.25, 0.5), 2.0)
-    return out.filter(F.col("criterion") < float("inf"))
+    way = lambda head: F.radians(20.0 * (k % 5) + (5 if head else 0))
+    directions = [f(way(e == "head")).alias(f"{e}_{c}") for e in ("head", "tail") for c, f in (("cos", F.cos), ("sin", F.sin))]
+    a = a.select("segment", "share", k.alias("tail"), (k + 1).alias("head"), *directions, (k % 3).cast("double").alias("km"), (k % 5 + 1).alias("members"), F.floor(k / 3).alias("highway"))
+    pairs = road_pairs(spark, d)
+    pairs = pairs.union(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return G.merge_criteria(pairs, a, p, 24, (2.0, 1.0, 0.25, 0.5), 1.5).filter(F.col("criterion") < float("inf"))
 
 
 @query("merge_segments")

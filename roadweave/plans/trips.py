@@ -240,18 +240,8 @@ def colour_or_black(spark, d):
     return k.select("kind", rule(F.when(F.col("kind") < "p", F.concat(F.lit("#"), F.col("kind"))).otherwise(F.col("kind"))).alias("c"))
 
 
-@query("multi_key_sort", "SELECT road, kind, n, row_number() OVER (ORDER BY n DESC, kind, road) AS r FROM (SELECT road, kind, count(*) AS n FROM gps GROUP BY 1, 2) ORDER BY r LIMIT 50", "gps")
+@query("multi_key_sort", "SELECT road, kind, n, row_number() OVER (ORDER BY n DESC, kind, road) AS r FROM (SELECT road, kind, count(*) AS n FROM gps GROUP BY 1, 2)", "gps")
 def multi_key_sort(spark, d):
-    """A report: the 50 largest (road, kind) groups in order of three keys."""
-    from pyspark.sql import Window
-
-    c = V.gps(spark, d).groupBy("road", "kind").agg(F.count(F.lit(1)).alias("n"))
-    top = c.orderBy(F.desc("n"), "kind", "road").limit(50)
-    return top.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "kind", "road")).cast("long"))
-
-
-@query("multi_key_sort_all", "SELECT road, kind, n, row_number() OVER (ORDER BY n DESC, kind, road) AS r FROM (SELECT road, kind, count(*) AS n FROM gps GROUP BY 1, 2)", "gps")
-def multi_key_sort_all(spark, d):
     """All (road, kind) groups with their rank in order of three keys."""
     from pyspark.sql import Window
 

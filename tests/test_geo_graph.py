@@ -156,6 +156,34 @@ def test_roundabouts(spark):
     assert G.chain_walk(e, "1_0") == ["1_0", "2_0", "3_0", "4_0", "5_0"]
 
 
+def test_rings_of_roundabouts(spark):
+    """Roundabouts that lead to each other in a circle: whatever goes in comes out at every exit."""
+    rings = [(10 + i, [20 + i, 30 + i, 20 + i]) for i in range(3)]
+    segs = spark.createDataFrame([(f"{w}_0", n[0], n[-1]) for w, n in rings] + [(f"{w}_0", w, w + 100) for w in (1, 2, 3)], "segment string, first long, last long")
+    edges = [("10_0", "11_0"), ("11_0", "12_0"), ("12_0", "10_0"), ("1_0", "10_0"), ("12_0", "2_0"), ("11_0", "3_0"), ("2_0", "3_0")]
+    got = {(r.src, r.dst) for r in G.remove_roundabouts(segs, spark.createDataFrame(edges, "src string, dst string")).collect()}
+    assert got == {("1_0", "2_0"), ("1_0", "3_0"), ("2_0", "3_0")}
+    with pytest.raises(RuntimeError):
+        G.remove_roundabouts(segs, spark.createDataFrame(edges, "src string, dst string"), rounds=1)
+
+
+def test_merge_criteria_by_hand(spark):
+    """Heads are compared with an out, tails with an in; a common end links; the better share of the two counts."""
+    e, a0, a60 = "segment string, share double, tail long, head long, head_cos double, head_sin double, tail_cos double, tail_sin double, km double, members int, highway string", (1.0, 0.0), (0.5, 0.75 ** 0.5)
+    rows = [("a", 0.5, 1, 2, *a0, *a60, 1.0, 1, "h"), ("b", 0.1, 2, 3, *a60, *a60, 4.0, 10, "h"), ("c", 0.3, 9, 2, *a60, *a0, 1.0, 1, "h"), ("d", 0.3, 7, 8, *a60, *a60, 1.0, 1, "x"), ("e", 0.1, 7, 8, *a0, *a60, 1.0, 1, "h")]
+    prof = spark.createDataFrame([("a", 0, 1.0)], "segment string, slot int, speed double")
+    pairs = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "c"), ("a", "d"), ("a", "e"), ("b", "e")], "src string, dst string")
+    got = {(r.src, r.dst): r.criterion for r in G.merge_criteria(pairs, spark.createDataFrame(rows, e), prof, 4, min_share=0.8).collect()}
+    turn = math.exp(0.5 + 0.75 ** 0.5) - 1
+    turn = math.inf if turn > math.e else turn
+    assert got["a", "b"] == pytest.approx(2 + turn + 0 + 3) or got["a", "b"] == turn == math.inf
+    assert got["b", "a"] == pytest.approx(2 + 0 + 0 + 3)  # a is an in of b: tails are alike; share 0.5 > 0.4, 11 members, 5 km
+    assert got["a", "c"] == pytest.approx(2 + turn + 0 + 1) or got["a", "c"] == turn == math.inf  # both end in 2: linked, not an out
+    assert got["a", "d"] == math.inf
+    assert got["a", "e"] == pytest.approx(2 + 0 + 1 + 1)  # no common end
+    assert got["b", "e"] == pytest.approx(2 + 0 + 1 + 2)  # nobody has more than 0.4
+
+
 def group(i, speeds, ins, outs, km=1.0, highway="a"):
     return Group(i, highway, km, i, i + 1, (1.0, 0.0), (1.0, 0.0), {i, i + 1}, set(ins), set(outs), np.array(speeds, float))
 
@@ -165,7 +193,7 @@ def test_greedy_merge():
     chain = [group(0, [5, nan, nan, nan], [], [1]), group(1, [5, 5, nan, nan], [0], [2]), group(2, [nan, nan, 5, 5], [1], [3]), group(3, [9, 9, 9, 9], [2], [])]
     owner = greedy_merge(chain)
     # all four together would have neither ins nor outs: the last merge is refused
-    assert owner[0] == owner[1] != owner[2] == owner[3]
+    assert owner == {0: 0, 1: 1, 2: 1, 3: 1}
     chain = [group(0, [5, nan, nan, nan], [7], [1]), group(1, [5, 5, nan, nan], [0], [2]), group(2, [nan, nan, 5, 5], [1], [3]), group(3, [9, 9, 9, 9], [2], [8])]
     owner = greedy_merge(chain)
     assert len(set(owner.values())) == 1
@@ -226,7 +254,7 @@ def test_segment_attributes_query_has_shares_and_directions(spark):
     from roadweave.plans import graph  # noqa: F401
     from roadweave.plans.registry import QUERIES
 
-    got = QUERIES["segment_attributes_all"](spark, "/root/testdata/sf0.001").collect()
+    got = QUERIES["segment_attributes"](spark, "/root/testdata/sf0.001").collect()
     assert len({r.share for r in got}) > 2 and min(r.share for r in got) > 0
     assert all(abs(r[f"{e}_cos"] ** 2 + r[f"{e}_sin"] ** 2 - 1) < 1e-5 for r in got for e in ("head", "tail"))
     assert len({r.head_cos for r in got}) > 100
