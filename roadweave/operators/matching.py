@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..storage import discard, materialize
 
 KM_PER_DEGREE = geo.EARTH_KM * math.pi / 180
 
@@ -108,9 +109,11 @@ def nearest_way_any_distance(points: DataFrame, ways: DataFrame, start_metres: f
     todo, done, reach = points.withColumn("heading", F.lit(0.0)), None, start_metres
     for _ in range(rounds):
         got = nearest_road(todo, ways, reach, max(reach / 1000 / KM_PER_DEGREE, 1e-3))
-        hit = got.filter(F.col("road").isNotNull()).select("pid", "road", "metres")
+        # written, so that no round works out the ones before it again
+        hit = materialize(got.filter(F.col("road").isNotNull()).select("pid", "road", "metres"), "nearest")
         done = hit if done is None else done.union(hit)
-        todo = todo.join(hit.select("pid"), "pid", "left_anti")
+        before, todo = todo, materialize(todo.join(hit.select("pid"), "pid", "left_anti"), "farther")
+        discard(before)
         if reach > 20_000_000 or todo.isEmpty():
             break
         reach *= 4

@@ -7,6 +7,8 @@ history.  Forecasts are long: (model, segment, ts, y, pred).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -162,41 +164,54 @@ def log_alphas(low: float, high: float, n: int) -> list[float]:
     return np.logspace(np.log10(low), np.log10(high), n).tolist()
 
 
+TARGETS = 8
+
+
+def _by_targets(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, chunk, ts, x, ys, names): the design matrix once for every ``TARGETS`` target segments, not once for each."""
+    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.ceil(F.size("y") / TARGETS).cast("int") - 1)))
+    part = lambda c: F.slice(c, F.col("chunk") * TARGETS + 1, F.lit(TARGETS))
+    return rows.select(*keys, "chunk", "ts", "x", part("y").alias("ys"), part("segments").alias("names"))
+
+
+def _kind_of_segment(samples: DataFrame) -> str:
+    return dict(samples.dtypes)["segments"].removeprefix("array<").removesuffix(">")
+
+
 def fit_per_segment(samples: DataFrame, alpha: float = 0.0, alphas: list[float] | None = None, n_alphas: int = 0) -> DataFrame:
     """(segment, alpha, intercept, coef, mse): one model per target segment on all segments' present speeds.
 
-    ``samples``: (ts, segments, x, y) as from ``next_slot_samples``.  Each target's
-    task gets the design matrix with its own column of y, so targets fit in
-    parallel; ``alphas`` searches by cross-validation, ``n_alphas`` over the target's own path.
+    ``samples``: (ts, segments, x, y) as from ``next_slot_samples``.  A task gets
+    the design matrix with the y of some targets; ``alphas`` searches by
+    cross-validation, ``n_alphas`` over the target's own path.
     """
-    rows = samples.select("ts", "x", F.posexplode("y").alias("k", "target"), "segments")
-    rows = rows.select(F.get("segments", F.col("k")).alias("segment"), "ts", "x", "target")
-    kind = dict(rows.dtypes)["segment"]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts")
-        x, y = np.stack(pdf["x"].to_numpy()), pdf["target"].to_numpy()
-        path = alpha_path(x - x.mean(axis=0), y - y.mean(), n_alphas) if n_alphas else alphas
-        a = lasso_cv(x, y, np.array(path))[0] if path is not None and len(path) else alpha
-        c, w = fit_linear(x, y, a)
-        return pd.DataFrame({"segment": [pdf["segment"].iloc[0]], "alpha": [float(a)], "intercept": [c], "coef": [w.tolist()], "mse": [float(((y - c - x @ w) ** 2).mean())]})
+        x, ys, out = np.stack(pdf["x"].to_numpy()), np.stack(pdf["ys"].to_numpy()), []
+        for name, y in zip(pdf["names"].iloc[0], ys.T):
+            path = alpha_path(x - x.mean(axis=0), y - y.mean(), n_alphas) if n_alphas else alphas
+            a = lasso_cv(x, y, np.array(path))[0] if path is not None and len(path) else alpha
+            c, w = fit_linear(x, y, a)
+            out.append((name, float(a), c, w.tolist(), float(((y - c - x @ w) ** 2).mean())))
+        return pd.DataFrame(out, columns=["segment", "alpha", "intercept", "coef", "mse"])
 
-    return rows.groupBy("segment").applyInPandas(fit, f"segment {kind}, alpha double, intercept double, coef array<double>, mse double")
+    return _by_targets(samples).groupBy("chunk").applyInPandas(fit, f"segment {_kind_of_segment(samples)}, alpha double, intercept double, coef array<double>, mse double")
 
 
 def fit_per_slice(samples: DataFrame, alpha: float, hours: int = 1) -> DataFrame:
     """As ``fit_per_segment``, one model per (slice of the day, segment)."""
-    rows = samples.withColumn("slice", F.floor(F.hour("ts") / hours).cast("int")).select("ts", "slice", "x", F.posexplode("y").alias("k", "target"), "segments")
-    rows = rows.select("slice", F.get("segments", F.col("k")).alias("segment"), "ts", "x", "target")
-    kind = dict(rows.dtypes)["segment"]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts")
-        x, y = np.stack(pdf["x"].to_numpy()), pdf["target"].to_numpy()
-        c, w = fit_linear(x, y, alpha)
-        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "segment": [pdf["segment"].iloc[0]], "intercept": [c], "coef": [w.tolist()], "mse": [float(((y - c - x @ w) ** 2).mean())]})
+        x, ys, out = np.stack(pdf["x"].to_numpy()), np.stack(pdf["ys"].to_numpy()), []
+        for name, y in zip(pdf["names"].iloc[0], ys.T):
+            c, w = fit_linear(x, y, alpha)
+            out.append((pdf["slice"].iloc[0], name, c, w.tolist(), float(((y - c - x @ w) ** 2).mean())))
+        return pd.DataFrame(out, columns=["slice", "segment", "intercept", "coef", "mse"])
 
-    return rows.groupBy("slice", "segment").applyInPandas(fit, f"slice int, segment {kind}, intercept double, coef array<double>, mse double")
+    rows = _by_targets(samples.withColumn("slice", F.floor(F.hour("ts") / hours).cast("int")), "slice")
+    return rows.groupBy("slice", "chunk").applyInPandas(fit, f"slice int, segment {_kind_of_segment(samples)}, intercept double, coef array<double>, mse double")
 
 
 def regime_losses(samples: DataFrame, cuts: list[int], alpha: float | None = None, folds: int = 5, n_alphas: int = 20, eps: float = 1e-4) -> DataFrame:
@@ -207,24 +222,24 @@ def regime_losses(samples: DataFrame, cuts: list[int], alpha: float | None = Non
     with a fixed ``alpha`` there is an intercept and slot t is on both sides.
     """
     slot = F.dense_rank().over(Window.partitionBy(T.day(F.col("ts"))).orderBy("ts")) - 1
-    rows = samples.withColumn("slot", slot).withColumn("t", F.explode(F.array(*[F.lit(c) for c in cuts])))
-    rows = rows.select("t", "slot", "ts", "x", F.posexplode("y").alias("k", "target"), "segments")
-    rows = rows.select("t", F.get("segments", F.col("k")).alias("segment"), "slot", "ts", "x", "target")
-    kind = dict(rows.dtypes)["segment"]
+    rows = _by_targets(samples.withColumn("slot", slot).withColumn("t", F.explode(F.array(*[F.lit(c) for c in cuts]))), "t", "slot")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts")
-        t, found = int(pdf["t"].iloc[0]), []
+        t, names = int(pdf["t"].iloc[0]), pdf["names"].iloc[0]
+        found: list[list[tuple[float, float]]] = [[] for _ in names]
         for side in (pdf[pdf["slot"] < t if alpha is None else pdf["slot"] <= t], pdf[pdf["slot"] >= t]):
             if len(side) < folds:
-                found.append((float("nan"), float("nan")))
+                for f in found:
+                    f.append((float("nan"), float("nan")))
                 continue
-            x, y = np.stack(side["x"].to_numpy()), side["target"].to_numpy()
-            found.append(lasso_cv_path(x, y, n_alphas, eps, folds) if alpha is None else lasso_cv(x, y, np.array([alpha]), folds))
-        (a, left), (b, right) = found
-        return pd.DataFrame({"t": [t], "segment": [pdf["segment"].iloc[0]], "left_loss": [left], "right_loss": [right], "left_alpha": [a], "right_alpha": [b]})
+            x, ys = np.stack(side["x"].to_numpy()), np.stack(side["ys"].to_numpy())
+            for f, y in zip(found, ys.T):
+                f.append(lasso_cv_path(x, y, n_alphas, eps, folds) if alpha is None else lasso_cv(x, y, np.array([alpha]), folds))
+        out = [(t, name, left, right, a, b) for name, ((a, left), (b, right)) in zip(names, found)]
+        return pd.DataFrame(out, columns=["t", "segment", "left_loss", "right_loss", "left_alpha", "right_alpha"])
 
-    return rows.groupBy("t", "segment").applyInPandas(fit, f"t int, segment {kind}, left_loss double, right_loss double, left_alpha double, right_alpha double")
+    return rows.groupBy("t", "chunk").applyInPandas(fit, f"t int, segment {_kind_of_segment(samples)}, left_loss double, right_loss double, left_alpha double, right_alpha double")
 
 
 def centre_by_clock(long: DataFrame) -> DataFrame:
@@ -316,33 +331,47 @@ def dickey_fuller(dense: DataFrame, lags: int = 1) -> DataFrame:
 
 
 def dbscan(distance: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
-    """Labels from a distance matrix: clusters by smallest core point, noise -1; a point counts among its own neighbours."""
-    n = len(distance)
-    near = distance <= eps
-    core = near.sum(axis=1) >= min_samples
+    """Labels from a distance matrix; see ``dbscan_by_rows``."""
+    return dbscan_by_rows(len(distance), lambda i: distance[i], eps, min_samples)
+
+
+def dbscan_by_rows(n: int, row: Callable[[int], np.ndarray], eps: float, min_samples: int) -> np.ndarray:
+    """Clusters by smallest core point, noise -1; a point counts among its own neighbours.
+
+    ``row(i)`` are the distances of point i to all; they are worked out when a
+    point is met and not kept, so memory grows with the points, not their square.
+    """
     labels, cluster = np.full(n, -1), 0
+    seen = np.zeros(n, bool)  # points whose neighbours are known to be too few, or that lead their cluster on
     for i in range(n):
-        if not core[i] or labels[i] != -1:
+        if labels[i] != -1 or seen[i]:
+            continue
+        near = np.flatnonzero(row(i) <= eps)
+        seen[i] = True
+        if len(near) < min_samples:
             continue
-        front = [i]
-        labels[i] = cluster
+        fresh = near[labels[near] == -1]
+        labels[fresh] = cluster
+        front = [p for p in fresh.tolist() if p != i and not seen[p]]
         while front:
             p = front.pop()
-            if core[p]:
-                for q in np.flatnonzero(near[p] & (labels == -1)):
-                    labels[q] = cluster
-                    front.append(q)
+            near = np.flatnonzero(row(p) <= eps)
+            seen[p] = True
+            if len(near) >= min_samples:
+                fresh = near[labels[near] == -1]
+                labels[fresh] = cluster
+                front += [q for q in fresh.tolist() if not seen[q]]
         cluster += 1
     return labels
 
 
-def _distances(lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
-    n = len(lon)
-    i, j = np.triu_indices(n, 1)
-    out = np.zeros((n, n))
-    d = np.nan_to_num(geo.vincenty_arrays(lon[i], lat[i], lon[j], lat[j]), nan=20_000.0)
-    out[i, j] = out[j, i] = d
-    return out
+def _distances_of(lon: np.ndarray, lat: np.ndarray) -> Callable[[int], np.ndarray]:
+    def row(i: int) -> np.ndarray:
+        d = np.nan_to_num(geo.vincenty_arrays(np.full(len(lon), lon[i]), np.full(len(lat), lat[i]), lon, lat), nan=20_000.0)
+        d[i] = 0.0
+        return d
+
+    return row
 
 
 def regions_of_interest(places: DataFrame, eps_km: float = 0.5, min_samples: int = 5) -> DataFrame:
@@ -350,7 +379,7 @@ def regions_of_interest(places: DataFrame, eps_km: float = 0.5, min_samples: int
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pid")
-        labels = dbscan(_distances(pdf["lon"].to_numpy(), pdf["lat"].to_numpy()), eps_km, min_samples)
+        labels = dbscan_by_rows(len(pdf), _distances_of(pdf["lon"].to_numpy(), pdf["lat"].to_numpy()), eps_km, min_samples)
         return pd.DataFrame({"id": pdf["id"], "pid": pdf["pid"], "cluster": labels, "clusters": len(set(labels))})
 
     return places.select("id", "pid", "lon", "lat").groupBy("id").applyInPandas(fit, "id long, pid long, cluster long, clusters long")
@@ -370,20 +399,22 @@ def recurrent_trips(trips: DataFrame, eps_km: float = 0.5, min_samples: int = 5)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("trip_id")
-        d = np.maximum(_distances(pdf["lon1"].to_numpy(), pdf["lat1"].to_numpy()), _distances(pdf["lon2"].to_numpy(), pdf["lat2"].to_numpy()))
-        return pd.DataFrame({"id": pdf["id"], "trip_id": pdf["trip_id"], "cluster": dbscan(d, eps_km, min_samples)})
+        one, two = _distances_of(pdf["lon1"].to_numpy(), pdf["lat1"].to_numpy()), _distances_of(pdf["lon2"].to_numpy(), pdf["lat2"].to_numpy())
+        labels = dbscan_by_rows(len(pdf), lambda i: np.maximum(one(i), two(i)), eps_km, min_samples)
+        return pd.DataFrame({"id": pdf["id"], "trip_id": pdf["trip_id"], "cluster": labels})
 
     rows = trips.select("id", "trip_id", F.col("begin.lon").alias("lon1"), F.col("begin.lat").alias("lat1"), F.col("end.lon").alias("lon2"), F.col("end.lat").alias("lat2"))
     return rows.groupBy("id").applyInPandas(fit, "id long, trip_id long, cluster long")
 
 
-def kmeans_1d(x: np.ndarray, centres: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """Lloyd's algorithm on a line from given centres: (labels, centres)."""
+def kmeans_1d(x: np.ndarray, centres: np.ndarray, rounds: int = 100, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Lloyd's algorithm on a line from given centres: (labels, centres); ``weight`` says how often each value occurs."""
+    weight = np.ones(len(x)) if weight is None else weight
     c = centres.astype(float).copy()
     labels = np.zeros(len(x), int)
     for _ in range(rounds):
         labels = np.abs(x[:, None] - c[None, :]).argmin(axis=1)
-        new = np.array([x[labels == k].mean() if (labels == k).any() else c[k] for k in range(len(c))])
+        new = np.array([np.average(x[labels == k], weights=weight[labels == k]) if (labels == k).any() else c[k] for k in range(len(c))])
         if np.allclose(new, c):
             break
         c = new
@@ -391,15 +422,20 @@ def kmeans_1d(x: np.ndarray, centres: np.ndarray, rounds: int = 100) -> tuple[np
 
 
 def heading_clusters(points: DataFrame, apart: float = 100.0) -> DataFrame:
-    """(road, centres): two centres of a road's headings, one if they are closer than ``apart`` degrees."""
+    """(road, centres): two centres of a road's headings, one if they are closer than ``apart`` degrees.
+
+    Works on the different headings of a road and how often each occurs, summed on the map side.
+    """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf["heading"].to_numpy(float)
-        _, c = kmeans_1d(x, np.array([x.min(), x.max()]))
-        c = np.sort(c) if abs(c[1] - c[0]) >= apart else np.array([x.mean()])
+        pdf = pdf.sort_values("heading")
+        x, n = pdf["heading"].to_numpy(float), pdf["n"].to_numpy(float)
+        _, c = kmeans_1d(x, np.array([x.min(), x.max()]), weight=n)
+        c = np.sort(c) if abs(c[1] - c[0]) >= apart else np.array([np.average(x, weights=n)])
         return pd.DataFrame({"road": [pdf["road"].iloc[0]], "centres": [c.tolist()]})
 
-    return points.filter("road is not null and heading is not null").select("road", "heading").groupBy("road").applyInPandas(fit, "road long, centres array<double>")
+    counts = points.filter("road is not null and heading is not null").groupBy("road", "heading").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("road").applyInPandas(fit, "road long, centres array<double>")
 
 
 def time_clusters(points: DataFrame, centres: tuple[float, ...] = (1, 6, 12, 18, 23)) -> DataFrame:

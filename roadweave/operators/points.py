@@ -91,7 +91,11 @@ def size_classes(counts: DataFrame, drop_rarest: bool = False) -> DataFrame:
 
 
 def headings_per_road(points: DataFrame) -> DataFrame:
-    return points.groupBy("road").agg(F.sort_array(F.collect_list("heading")).alias("headings"), F.count(F.lit(1)).alias("n"))
+    """(road, headings, n): all headings of a road in order, put together from how often each occurs."""
+    counts = points.groupBy("road", "heading").agg(F.count(F.lit(1)).alias("n"))
+    each = F.array_sort(F.collect_list(F.when(F.col("heading").isNotNull(), F.struct("heading", F.col("n").cast("int").alias("n")))))
+    by = counts.groupBy("road").agg(each.alias("each"), F.sum("n").alias("n"))
+    return by.select("road", F.flatten(F.transform("each", lambda x: F.array_repeat(x["heading"], x["n"]))).alias("headings"), "n")
 
 
 def segment_counts(points: DataFrame) -> DataFrame:

@@ -65,13 +65,33 @@ def zone_counts(spark, d):
     return M.zone_of_points(V.gps(spark, d), V.zones(spark, d)).groupBy("zone").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("zone_within")
+# nearest of all legs (id, leg, lon1, lat1, lon2, lat2) to each point, by comparing every point with every leg
+NEAREST = """pr AS (SELECT g.pid, g.lon, g.lat, l.*, greatest(0.0, least(1.0, ((g.lon - lon1) * (lon2 - lon1) + (g.lat - lat1) * (lat2 - lat1)) / ((lon2 - lon1) * (lon2 - lon1) + (lat2 - lat1) * (lat2 - lat1)))) AS t FROM gps g, {0} l),
+  onleg AS (SELECT *, lon1 + t * (lon2 - lon1) AS px, lat1 + t * (lat2 - lat1) AS py FROM pr),
+  near AS (SELECT *, 1000 * HAV(lon, lat, px, py) AS metres FROM onleg QUALIFY row_number() OVER (PARTITION BY pid ORDER BY 1000 * HAV(lon, lat, px, py), id, leg) = 1)"""
+SIDES = ["w, s, w + 0.04, s", "w + 0.04, s, w + 0.04, s + 0.0205", "w + 0.04, s + 0.0205, w, s + 0.0205", "w, s + 0.0205, w, s"]
+ZONE_LEGS = " UNION ALL ".join(
+    f"SELECT zone AS id, {i} AS leg, " + ", ".join(f"{x.replace('0.04', 'CAST(0.04 AS DOUBLE)').replace('0.0205', 'CAST(0.0205 AS DOUBLE)')} AS {n}" for x, n in zip(side.split(", "), ("lon1", "lat1", "lon2", "lat2"))) + " FROM z"
+    for i, side in enumerate(SIDES)
+)
+
+
+@query(
+    "zone_within",
+    f"WITH z AS ({ZONES}), zl AS ({ZONE_LEGS}), held AS ({IN_ZONE}), {NEAREST.format('zl')} "
+    "SELECT h.pid, CASE WHEN h.zone <> 'N/A' THEN h.zone WHEN near.metres <= 200 THEN near.id ELSE 'N/A' END AS zone FROM held h JOIN near ON near.pid = h.pid",
+    "gps",
+)
 def zone_within(spark, d):
-    """Zone that holds the point, else the nearest within 200 m; tested against brute force."""
+    """Zone that holds the point, else the nearest within 200 m; SQL compares every point with every side."""
     return M.zone_within(V.gps(spark, d), V.zones(spark, d), 200.0).select("pid", "zone")
 
 
-@query("is_residential")
+@query(
+    "is_residential",
+    f"WITH rl AS (SELECT road AS id, leg, lon1, lat1, lon2, lat2 FROM legs), {NEAREST.format('rl')} SELECT pid, id AS way, id % 4 = 0 AS residential FROM near",
+    ("gps", "legs"),
+)
 def is_residential(spark, d):
     use = V.roads(spark, d).withColumn("landuse", F.when(F.col("road") % 4 == 0, "residential").otherwise("retail"))
     return M.is_residential(V.gps(spark, d), use).select("pid", "way", "residential")

@@ -129,6 +129,6 @@ def test_multi_key_sort_keeps_every_group(spark):
     from roadweave.plans.registry import QUERIES
 
     d = "/root/testdata/sf0.01"
-    got = QUERIES["multi_key_sort_all"](spark, d).orderBy("r").collect()
+    got = QUERIES["multi_key_sort"](spark, d).orderBy("r").collect()
     assert len(got) == views.gps(spark, d).select("road", "kind").distinct().count() > 50
     assert [r.r for r in got] == list(range(1, len(got) + 1)) and got == sorted(got, key=lambda r: (-r.n, r.kind, r.road))
