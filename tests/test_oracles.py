@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from roadweave.plans import graph, matrix, points, trips  # noqa: F401
+from roadweave.plans import graph, matrix, points, sources, trips  # noqa: F401
 from roadweave.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadweave.operators import points as P
-from roadweave.plans import graph, matrix, points, trips  # noqa: F401
+from roadweave.plans import graph, matrix, points, sources, trips  # noqa: F401
 from roadweave.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -19,7 +19,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"merge_segments", "home_classifier", "segment_kmeans", "is_residential", "remove_roundabouts"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"merge_segments", "home_classifier", "segment_kmeans", "is_residential", "remove_roundabouts", "source_osm"}))
 def test_no_products_and_no_python(spark, name):
     p = plan(QUERIES[name](spark, SF))
     if name not in GRIDS:
