@@ -143,7 +143,7 @@ def common_prefix(a: bytes, b: bytes, start: int = 0) -> int:
     return most
 
 
-Entry = tuple[bytes, bytes, list[int], list[int]]  # hash and suffix, left side, texts, positions
+Entry = tuple[bytes, bytes, list[int], list[int]]  # hash and suffix, left side from the anchor outwards, texts, positions
 
 
 def encode_run(entries: list[Entry], block: int = 1000) -> bytes:
@@ -253,8 +253,8 @@ def covered(
 ) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each length: (smallest, largest) offset d for which the window that starts d bytes left of the anchor is elsewhere too; 1, 0 if none.
 
-    Entries are in order of their right sides.  ``shared``: what each right side
-    has in common with the one before; ``many``: whether an entry has several
+    Entries are in order of their right sides, left sides run from the anchor
+    outwards.  ``shared``: what each right side has in common with the one before; ``many``: whether an entry has several
     places.  An entry alone with one other is decided at once; of the others
     only those are looked at for an offset that share enough on either side
     with some neighbour.
@@ -262,13 +262,13 @@ def covered(
     n = len(lefts)
     left_len = np.fromiter(map(len, lefts), np.int64, n)
     group = np.cumsum(shared < gram)
-    rev = [x[::-1] for x in lefts]
-    keys = list(zip(group.tolist(), rev))
-    order = np.array(sorted(range(n), key=keys.__getitem__), np.int64)
-    both = np.full(n, -1, np.int64)
-    for a, (i, j) in enumerate(zip(order[:-1].tolist(), order[1:].tolist()), 1):
-        if keys[i][0] == keys[j][0]:
-            both[a] = common_prefix(rev[i], rev[j])
+    starts = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), n)
+    order, both = np.arange(n), np.full(n, -1, np.int64)
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        if b - a > 1:
+            by_left = sorted(range(a, b), key=lefts.__getitem__)
+            order[a:b] = by_left
+            both[a + 1 : b] = [common_prefix(lefts[i], lefts[j]) for i, j in zip(by_left, by_left[1:])]
     # what an entry has in common with the nearest of its neighbours, to the right and to the left of the anchor
     inside = np.where(shared < gram, -1, shared)
     near_right = np.maximum(inside, np.append(inside[1:], -1))
@@ -330,7 +330,7 @@ def _runs(gram: int, length: int, parts: int, flush: int = 20_000):
                 for p, h in zip(at.as_py(), grams.as_py()):
                     key = (h.to_bytes(8, "big", signed=True), p)
                     right = bytes([key[0][0] ^ 0x80]) + key[0][1:] + raw[p : p + length]
-                    ks, ps = found.setdefault((right, raw[max(0, p - side) : p]), ([], []))
+                    ks, ps = found.setdefault((right, raw[max(0, p - side) : p][::-1]), ([], []))
                     ks.append(k)
                     ps.append(p)
                     n += 1
