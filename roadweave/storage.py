@@ -107,12 +107,16 @@ def discard_unread(spark: SparkSession, paths: list[str], docs: DataFrame) -> No
                 _delete(spark, path)
 
 
-def short_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most ``rows`` rows, unless the session has a setting of its own.
+def short_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Arrow batches of at most ``rows`` rows and ``size`` bytes, unless the session has settings of its own.
 
-    Documents are long: batches of Spark's default of 10,000 rows are 30 MB and
-    more, several of which a task holds at a time, in the JVM and in Python.
+    Documents are long, and so are rows that hold many of them: batches of Spark's
+    default of 10,000 rows and 64 MB are held several at a time, in the JVM and in
+    Python.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(rows))
+    for name, default, value in (
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", str(rows)),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", size),
+    ):
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, value)
