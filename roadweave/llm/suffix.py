@@ -143,7 +143,7 @@ def common_prefix(a: bytes, b: bytes, start: int = 0) -> int:
     return most
 
 
-Entry = tuple[bytes, bytes, list[int], list[int]]  # hash and suffix, left side from the anchor outwards, texts, positions
+Entry = tuple[bytes, bytes, list[int], list[int]]  # hash and suffix, left side, texts, positions
 
 
 def encode_run(entries: list[Entry], block: int = 1000) -> bytes:
@@ -330,7 +330,7 @@ def _runs(gram: int, length: int, parts: int, flush: int = 20_000):
                 for p, h in zip(at.as_py(), grams.as_py()):
                     key = (h.to_bytes(8, "big", signed=True), p)
                     right = bytes([key[0][0] ^ 0x80]) + key[0][1:] + raw[p : p + length]
-                    ks, ps = found.setdefault((right, raw[max(0, p - side) : p][::-1]), ([], []))
+                    ks, ps = found.setdefault((right, raw[max(0, p - side) : p]), ([], []))
                     ks.append(k)
                     ps.append(p)
                     n += 1
@@ -375,7 +375,8 @@ def _merged(gram: int, lengths: tuple[int, ...]):
             n, right = max(n - 8, 0), len(e[0]) - 8
             keys.extend(e[2])
             pos.extend(e[3])
-            if lefts and n == longest and right == rights[-1] and e[1] == lefts[-1]:
+            left = e[1][::-1]  # kept once, from the anchor outwards; in runs it stands as in the text, which compresses better
+            if lefts and n == longest and right == rights[-1] and left == lefts[-1]:
                 counts[-1] += len(e[2])
                 continue
             if n < gram and len(lefts) >= 5_000:
@@ -387,7 +388,7 @@ def _merged(gram: int, lengths: tuple[int, ...]):
                 pos.extend(more[1])
             shared.append(n if lefts else 0)
             rights.append(right)
-            lefts.append(e[1])
+            lefts.append(left)
             counts.append(len(e[2]))
         out.append(decided(*held))
         return pa.concat_tables(out)
