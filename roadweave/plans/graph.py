@@ -249,16 +249,6 @@ def segments_meta(spark, d):
     return G.segments_meta(V.ways(spark, d), segment_counts(li)).select("segment", "max_speed", "points", "cars")
 
 
-@query("adjacency", "SELECT 'h' || h AS src, 'h' || h AS dst, 1 AS w FROM hours UNION SELECT src, dst, 1 FROM edges", ("hours", "edges"))
-def adjacency(spark, d):
-    return G.adjacency(*V.hour_graph(spark, d))
-
-
-@query("adjacency_full_outer", "SELECT coalesce(a.src, e.src) AS src, coalesce(a.dst, e.dst) AS dst, 1 AS w FROM (SELECT 'h' || h AS src, 'h' || h AS dst FROM hours) a FULL OUTER JOIN edges e ON a.src = e.src AND a.dst = e.dst", ("hours", "edges"))
-def adjacency_full_outer(spark, d):
-    return G.adjacency_outer(*V.hour_graph(spark, d))
-
-
 A0 = "WITH a0 AS (SELECT 'h' || h AS src, 'h' || h AS dst, 1 AS w FROM hours UNION SELECT src, dst, 1 FROM edges), "
 LEVEL = "a{n} AS (SELECT src, dst, CAST(sum(w) AS INTEGER) AS w FROM (SELECT * FROM a{m} UNION ALL SELECT DISTINCT x.src, y.dst, 1 FROM a{m} x JOIN a{m} y ON x.dst = y.src) GROUP BY 1, 2)"
 LEVELS = A0 + ", ".join(LEVEL.format(n=n, m=n - 1) for n in (1, 2, 3))
@@ -278,11 +268,6 @@ def adjacency_merge(spark, d):
     return G.merge_adjacency(G.add_levels(G.adjacency(*V.hour_graph(spark, d)), 3), hour_groups(spark, d))
 
 
-@query("adjacency_symmetric", A0[:-2] + " SELECT src, dst, CAST(sum(w) AS BIGINT) AS w FROM (SELECT * FROM a0 UNION ALL SELECT dst, src, w FROM a0) GROUP BY 1, 2", ("hours", "edges"))
-def adjacency_symmetric(spark, d):
-    return G.symmetric(G.adjacency(*V.hour_graph(spark, d)))
-
-
 @query("remove_roundabouts")
 def remove_roundabouts(spark, d):
     """Closed ways bridged in the linear graph; tested on small graphs."""
@@ -382,18 +367,18 @@ def merge_segments(spark, d):
     return merging.merge_segments(segs, G.linear_edges(segs), speeds, list(range(7)))
 
 
-@query("road_adjacency", f"SELECT segment AS src, segment AS dst, 1 AS w FROM ends UNION SELECT src, dst, 1 FROM ({LINEAR})", "ends")
-def road_adjacency(spark, d):
+@query("adjacency", f"SELECT segment AS src, segment AS dst, 1 AS w FROM ends UNION SELECT src, dst, 1 FROM ({LINEAR})", "ends")
+def adjacency(spark, d):
     return G.adjacency(*road_graph(spark, d))
 
 
-@query("road_adjacency_full_outer", f"SELECT coalesce(a.src, e.src) AS src, coalesce(a.dst, e.dst) AS dst, 1 AS w FROM (SELECT segment AS src, segment AS dst FROM ends) a FULL OUTER JOIN ({LINEAR}) e ON a.src = e.src AND a.dst = e.dst", "ends")
-def road_adjacency_full_outer(spark, d):
+@query("adjacency_full_outer", f"SELECT coalesce(a.src, e.src) AS src, coalesce(a.dst, e.dst) AS dst, 1 AS w FROM (SELECT segment AS src, segment AS dst FROM ends) a FULL OUTER JOIN ({LINEAR}) e ON a.src = e.src AND a.dst = e.dst", "ends")
+def adjacency_full_outer(spark, d):
     return G.adjacency_outer(*road_graph(spark, d))
 
 
-@query("road_adjacency_symmetric", f"WITH l AS ({LINEAR}), a0 AS (SELECT segment AS src, segment AS dst, 1 AS w FROM ends UNION SELECT src, dst, 1 FROM l) SELECT src, dst, CAST(sum(w) AS BIGINT) AS w FROM (SELECT * FROM a0 UNION ALL SELECT dst, src, w FROM a0) GROUP BY 1, 2", "ends")
-def road_adjacency_symmetric(spark, d):
+@query("adjacency_symmetric", f"WITH l AS ({LINEAR}), a0 AS (SELECT segment AS src, segment AS dst, 1 AS w FROM ends UNION SELECT src, dst, 1 FROM l) SELECT src, dst, CAST(sum(w) AS BIGINT) AS w FROM (SELECT * FROM a0 UNION ALL SELECT dst, src, w FROM a0) GROUP BY 1, 2", "ends")
+def adjacency_symmetric(spark, d):
     return G.symmetric(G.adjacency(*road_graph(spark, d)))
 
 
